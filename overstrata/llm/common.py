@@ -179,3 +179,57 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(at, kind="stable")
         out, at = out[order], at[order]
     return out, at
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From a partition sorted by a long column: tables of whole groups, with where each group starts and the end."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        k = held[key].to_numpy()
+        at = np.flatnonzero(k[1:] != k[:-1]) + 1
+        if len(at):
+            yield held.slice(0, at[-1]).combine_chunks(), np.concatenate([[0], at])
+            held = held.slice(at[-1])
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, label) of every node of edges (a, b): the least node it is connected with.
+
+    Large-star and small-star steps in turns, each an aggregation with partial sums and a join against a written
+    table, until nothing changes. Nodes and edges never leave the executors.
+    """
+    from pyspark.sql import functions as F
+
+    def stars(e: DataFrame, both: bool) -> DataFrame:
+        way = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if both:
+            way = way.union(e.select("b", "a"))
+        least = Table(way.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), name)
+        used.append(least)
+        joined = way.join(least.df, "u")
+        if both:  # neighbours beyond u go to its least one
+            return joined.filter("v > u").select(F.col("v").alias("x"), F.col("m").alias("y"))
+        return joined.select(F.col("v").alias("x"), F.col("m").alias("y")).union(least.df.select("u", "m"))
+
+    def tidy(e: DataFrame) -> Table:
+        # a > b always: each edge points to the smaller node.
+        return Table(e.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), name)
+
+    used: list[Table] = []
+    now = tidy(edges.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    while True:
+        one = tidy(stars(now.df, True))
+        two = tidy(stars(one.df, False))
+        # A forest of stars, each at its least node, is a fixed point of both steps.
+        hubs = two.df.select(F.col("b").alias("a")).distinct()
+        settled = two.df.groupBy("a").count().filter("count > 1").limit(1).count() == 0 and two.df.join(hubs, "a", "left_semi").limit(1).count() == 0
+        for t in (now, one, *used):
+            t.drop()
+        used, now = [], two
+        if settled:
+            break
+    return now.df.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.df.select("b", "b").distinct())
