@@ -80,35 +80,40 @@ def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 150, rate: flo
     size = 1 << BITS
     if not len(texts) or labels.min() == labels.max():
         return Model(np.zeros(size, np.float32), -40.0 if not len(texts) or not labels.max() else 0.0)
-    cols, rows, docs_of, n = [], [], [], 0
-    for at, _, data, offsets in C.steps(pa.array(texts, pa.string())):
+    column = pa.array(texts, pa.string())
+    # Once for how many documents have each feature, once for those features that are used: little is held at a time.
+    found = np.zeros((2, size))
+    for at, _, data, offsets in C.steps(column):
         features, first, doc, _, _ = split(data, offsets)
-        if len(first):
-            sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, features.shape[1]))) + n
-            cols.append(features.ravel())
-            rows.append(np.tile(sentence, len(features)))
-            docs_of.append(doc + at)
-            n += len(first)
-    if not n:
-        return Model(np.zeros(size, np.float32), -40.0)
-    col, row, doc = np.concatenate(cols), np.concatenate(rows), np.concatenate(docs_of)
-    seen = np.unique(doc[row] * size + col)
-    n1, n0 = max(1, labels.sum()), max(1, (1 - labels).sum())
-    with_1, with_0 = (np.bincount(seen[labels[seen // size] == k] % size, minlength=size) for k in (1, 0))
-    z = (with_1 / n1 - with_0 / n0) / np.sqrt((with_1 + with_0 + 1) / (n1 + n0) * (1 / n1 + 1 / n0))
+        word_doc = np.repeat(doc, np.diff(np.append(first, features.shape[1])))
+        seen = np.unique((word_doc[None, :] * size + features).ravel())
+        for k in (0, 1):
+            found[k] += np.bincount(seen[labels[at + seen // size] == k] % size, minlength=size)
+    n1, n0 = labels.sum(), (1 - labels).sum()
+    z = (found[1] / n1 - found[0] / n0) / np.sqrt((found[0] + found[1] + 1) / (n1 + n0) * (1 / n1 + 1 / n0))
     z[0] = 0
     used = np.flatnonzero(z >= LEAST_Z)
     slot = np.full(size, -1)
     slot[used] = np.arange(len(used))
-    keep = slot[col] >= 0
-    col, row, first = slot[col[keep]], row[keep], np.zeros(n)
+    cols, rows, docs_of, n = [], [], [], 0
+    for at, _, data, offsets in C.steps(column):
+        features, first, doc, _, _ = split(data, offsets)
+        sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, features.shape[1]))) + n
+        kind, word = np.nonzero(slot[features] >= 0)
+        cols.append(slot[features[kind, word]])
+        rows.append(sentence[word])
+        docs_of.append(doc + at)
+        n += len(first)
+    if not n:
+        return Model(np.zeros(size, np.float32), -40.0)
+    col, row, doc = np.concatenate(cols), np.concatenate(rows), np.concatenate(docs_of)
     y = labels.astype(float)
     prior = y.mean() if prior is None else prior
     share = np.where(y > 0, prior / y.sum(), (1 - prior) / (1 - y).sum())
     w, b = np.zeros(len(used)), -4.0
     m, v, t = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0
     for _ in range(epochs):
-        z = np.bincount(row, w[col], len(first)) + b
+        z = np.bincount(row, w[col], n) + b
         none = np.bincount(doc, np.logaddexp(0, z), len(y))  # -log of the chance that no sentence is toxic
         p = np.clip(-np.expm1(-none), 1e-9, 1)
         # d loss / d none: 1 for clean documents, -(1 - p) / p for toxic ones
