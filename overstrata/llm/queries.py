@@ -6,7 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, toxicity
+from . import decontaminate, ngram_join, packing, pii, toxicity, urlfilter, warc
+
+#: The key of the pseudonyms of query op6 and of the pipeline. A deployment passes its own.
+PII_KEY = "overstrata demonstration key"
+#: Fixed rules of query op2: host, path, verdict.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "block"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(spark.read.parquet(f"{sf}/pages.parquet"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_warc_normaliser(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(spark, spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def op6_pii_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.pseudonymise(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), PII_KEY)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
