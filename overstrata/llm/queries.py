@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, packing, pii, toxicity, urlfilter, warc
+from . import ann, chat, decontaminate, ngram_join, packing, pii, toxicity, urlfilter, warc
 
 #: The key of the pseudonyms of query op6 and of the pipeline. A deployment passes its own.
 PII_KEY = "overstrata demonstration key"
@@ -29,10 +29,19 @@ def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.judge(spark.read.parquet(f"{sf}/pages.parquet"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_hnsw_search(spark: SparkSession, sf: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return ann.search(table.filter("vec_id % 20 = 0"), table, k=20)
+
+
 def op4_warc_normaliser(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(spark, spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+def op5_perspective_rotation(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.rotate(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
 def op6_pii_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     return pii.pseudonymise(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), PII_KEY)
 
