@@ -146,3 +146,8 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     whole = f"array_join(zip_with({parts}, {done}, (a, b) -> concat(a, coalesce(b, ''))), '')"
     # Every kind holds a digit or an @; most texts have neither and cost one look.
     return docs.withColumn(column, F.expr(f"case when {text} rlike '[0-9@]' then {whole} else {text} end"))
+
+
+def length_of(text: str, old: str):
+    """The length of a changed text in characters; null where the text is null."""
+    return F.coalesce(F.length(text).cast("long"), F.col(old).cast("long"))

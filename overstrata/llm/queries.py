@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontaminate, ngram_join, packing, pii, toxicity, urlfilter, warc
+from . import ann, chat, decontaminate, ngram_join, packing, pii, suffix_dedup, toxicity, urlfilter, warc
 
 #: The key of the pseudonyms of query op6 and of the pipeline. A deployment passes its own.
 PII_KEY = "overstrata demonstration key"
@@ -50,6 +50,10 @@ def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.dedup(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.matches(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
