@@ -96,7 +96,8 @@ def compose_chain(chains: DataFrame, rules: Sequence[Rule], chain: str = "chain"
     if any(r.strategy == APPEND_LIST for r in rules):
         raise PackageError("UseComposeOverrideForLists")
     fields = F.transform(F.col(chain), lambda x: x["fields"])
-    first = F.when(F.size(fields) > 0, fields[0]).otherwise(F.raise_error(F.lit("EmptyOverrideChain")).cast("array<struct<signature:binary,payload:binary>>"))
+    kind = chains.schema[chain].dataType.elementType["fields"].dataType.simpleString()
+    first = F.when(F.size(fields) > 0, F.get(fields, F.lit(0))).otherwise(F.raise_error(F.lit("EmptyOverrideChain")).cast(kind))
     return chains.withColumn("fields", F.aggregate(F.slice(fields, 2, F.size(fields)), first, lambda acc, x: apply(acc, x, rules)))
 
 

@@ -51,12 +51,16 @@ def allocate_ids(records: DataFrame, next_local: int, owned_index: int, order: s
     return numbered.select(F.col(id_column).alias("record_id"), K.record_id(F.lit(owned_index), F.col("_n") + next_local).alias("new_id"))
 
 
-def dense_number(rows: DataFrame, order: str, width: int = 1 << 16) -> DataFrame:
-    """rows with _n: 0, 1, ... by a long column without repeats."""
-    part = rows.withColumn("_b", F.floor(F.col(order) / width))
-    sizes = part.groupBy("_b").agg(F.count("*").alias("_c"))
-    base = sizes.select("_b", (F.sum("_c").over(W.orderBy("_b")) - F.col("_c")).alias("_base"))
-    return part.join(base, "_b").withColumn("_n", F.col("_base") + F.row_number().over(W.partitionBy("_b").orderBy(order)) - 1).drop("_b", "_base")
+def dense_number(rows: DataFrame, order: str, part: Sequence[str] = (), width: int = 1 << 16, out: str = "_n") -> DataFrame:
+    """rows with _n: 0, 1, ... by a long column without repeats, anew in each part.
+
+    Counts of ranges of the order come first, and a window works inside each range: no task sees all rows of a part.
+    """
+    ranged = rows.withColumn("_b", F.floor(F.col(order) / width))
+    sizes = ranged.groupBy(*part, "_b").agg(F.count("*").alias("_c"))
+    base = sizes.select(*part, "_b", (F.sum("_c").over(W.partitionBy(*part).orderBy("_b")) - F.col("_c")).alias("_base"))
+    number = F.col("_base") + F.row_number().over(W.partitionBy(*part, "_b").orderBy(order)) - 1
+    return ranged.join(base, [*part, "_b"]).withColumn(out, number).drop("_b", "_base")
 
 
 def rewrite_references(fields: DataFrame, id_map: DataFrame, references: Sequence[tuple[str, str]]) -> DataFrame:
