@@ -2,67 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..operators.tables import Table, delete, keep_until_exit, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 4 << 20
 #: Rows up to which a table of a few numbers per row may be broadcast (about 16 bytes a row).
 BROADCAST_ROWS = 1_000_000
 
-_scratch: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="overstrata-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        _scratch[base] = spark
-    return base.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder of this library through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for path, spark in list(_scratch.items()):
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            pass
-
-
-class Table:
-    """A DataFrame written to the shared folder: lineage ends here and lost executors lose nothing."""
-
-    def __init__(self, df: DataFrame, name: str):
-        spark = df.sparkSession
-        self.spark, self.path = spark, f"{shared_dir(spark)}/overstrata-{name}-{uuid.uuid4().hex[:12]}"
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(self.path)
-        _scratch[self.path] = spark
-        self.df = spark.read.schema(schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Call once nothing reads the table any more."""
-        delete(self.spark, self.path)
-        _scratch.pop(self.path, None)
-
-
 # ---------------------------------------------------------------------------------------------------
 # Words of many texts at once. A text is UTF-8; bytes from 128 on count as letters, and only A-Z are folded.
 
@@ -135,7 +88,7 @@ class Words:
         return mix64((self.sums[start + n] - self.sums[start]) * _powers[1][start] + np.uint64(n))
 
 
-def steps(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def steps(column: pa.Array | pa.ChunkedArray, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -146,7 +99,7 @@ def steps(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nda
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + step_bytes, "right")) - 1)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

@@ -225,7 +225,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
     """Write pages, normalise the archives and read them back. The normalised archives stay in ``folder``."""
     folder = folder or f"{C.shared_dir(spark)}/overstrata-warc-{uuid.uuid4().hex[:12]}"
-    C._scratch.setdefault(folder, spark)
+    C.keep_until_exit(spark, folder)
     listing = C.Table(write(pages, f"{folder}/raw"), "records").df
     keepers = listing.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "file", "number")).alias("keeper"), F.count("*").alias("n")).filter("n > 1")
     keepers = C.Table(keepers, "keepers").df
