@@ -16,13 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 #: Labelled documents of each class that a fit takes at most (those with the smallest hash of their id).
-FIT_ROWS_PER_CLASS = 4000
+FIT_ROWS_PER_CLASS = 2500
+#: Text bytes of one numpy step of a fit.
+FIT_STEP = 1 << 20
 BITS = 18  # features share 2**BITS weights, 1 MB in all
 #: Bytes of a word's beginning that are features beside the whole word.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -75,15 +78,15 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return features, first, doc[first], words.start[first], words.end[last]
 
 
-def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 150, rate: float = 0.1, decay: float = 1e-4, prior: float | None = None) -> Model:
+def fit_texts(texts: list[str] | pa.Array | pa.ChunkedArray, labels: np.ndarray, epochs: int = 150, rate: float = 0.1, decay: float = 1e-4, prior: float | None = None) -> Model:
     """Adam on the mean log loss of the noisy-or. prior: the share of toxic documents, where the texts hold more or fewer."""
     size = 1 << BITS
     if not len(texts) or labels.min() == labels.max():
         return Model(np.zeros(size, np.float32), -40.0 if not len(texts) or not labels.max() else 0.0)
-    column = pa.array(texts, pa.string())
+    column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
     # Once for how many documents have each feature, once for those features that are used: little is held at a time.
     found = np.zeros((2, size))
-    for at, _, data, offsets in C.steps(column):
+    for at, _, data, offsets in C.steps(column, FIT_STEP):
         features, first, doc, _, _ = split(data, offsets)
         word_doc = np.repeat(doc, np.diff(np.append(first, features.shape[1])))
         seen = np.unique((word_doc[None, :] * size + features).ravel())
@@ -96,7 +99,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 150, rate: flo
     slot = np.full(size, -1)
     slot[used] = np.arange(len(used))
     cols, rows, docs_of, n = [], [], [], 0
-    for at, _, data, offsets in C.steps(column):
+    for at, _, data, offsets in C.steps(column, FIT_STEP):
         features, first, doc, _, _ = split(data, offsets)
         sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, features.shape[1]))) + n
         kind, word = np.nonzero(slot[features] >= 0)
@@ -145,8 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = FIT_ROWS_PER_C
     # At most 2 * rows_per_class rows of two numbers: small by its limit.
     rows = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit_texts([x or "" for x in found["text"].to_pylist()], np.array(found["toxic"].to_pylist(), int), prior=rows.get(1, 0) / max(1, sum(rows.values())))
+    order = pc.sort_indices(found, [("doc_id", "ascending"), ("text", "ascending")])
+    labels = found["toxic"].take(order).to_numpy().astype(int)
+    return fit_texts(found["text"].take(order), labels, prior=rows.get(1, 0) / max(1, sum(rows.values())))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, spans: bool = True) -> DataFrame:
