@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import codec
 from ..functions import columns as K
@@ -50,22 +49,29 @@ def append(dst: Column, src: Column, sig: bytes | str, deduplicate: bool = False
     return F.concat(dst, F.array_except(more, dst) if deduplicate else more)
 
 
-def _append_udf(mode: str, limits: codec.Limits):
-    @F.udf(T.BinaryType(), useArrow=True)
-    def run(dst, src):
-        return None if dst is None or src is None else codec.append_list(bytes(dst), bytes(src), mode, limits)
-
-    return run
-
-
 def append_list(dst: Column, src: Column, sig: bytes | str, mode: str, limits: codec.Limits = codec.Limits()) -> Column:
-    """Encoded lists joined. Absent in the source: unchanged; absent in the destination: the source's bytes as they are."""
-    a, b = F.filter(dst, _is(sig)), F.filter(src, _is(sig))
-    joined = _append_udf(mode, limits)(F.try_element_at(a, F.lit(1))["payload"], F.try_element_at(b, F.lit(1))["payload"])
-    put = F.transform(dst, lambda x: F.when(x["signature"] == F.lit(sig), F.struct(x["signature"].alias("signature"), joined.alias("payload"))).otherwise(x))
-    many = (F.size(a) > 1) | (F.size(b) > 1)
-    bad = F.raise_error(F.lit("ListSubrecordMultiplicity")).cast("array<struct<signature:binary,payload:binary>>")
-    return F.when(many, bad).when(F.size(b) == 0, dst).when(F.size(a) == 0, F.concat(dst, b)).otherwise(put)
+    """Encoded lists joined. Absent in the source: unchanged; absent in the destination: the source's bytes as they are.
+
+    Decoding an encoded list has no built-in form, and Python can't stand in a lambda: the whole arrays go to an Arrow UDF.
+    """
+    key = sig if isinstance(sig, bytes) else sig.encode()
+
+    @F.udf("array<struct<signature:binary,payload:binary>>", useArrow=True)
+    def run(mine, theirs):
+        if mine is None:
+            return None
+        fields = [(bytes(x["signature"]), bytes(x["payload"])) for x in mine]
+        more = [bytes(x["payload"]) for x in theirs or () if bytes(x["signature"]) == key]
+        at = [i for i, f in enumerate(fields) if f[0] == key]
+        if len(at) > 1 or len(more) > 1:
+            raise PackageError("ListSubrecordMultiplicity", signature=key)
+        if more and not at:
+            fields.append((key, more[0]))
+        elif more:
+            fields[at[0]] = (key, codec.append_list(fields[at[0]][1], more[0], mode, limits))
+        return [{"signature": s, "payload": p} for s, p in fields]
+
+    return run(dst, src)
 
 
 def apply(dst: Column, src: Column, rules: Sequence[Rule]) -> Column:
