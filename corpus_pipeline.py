@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from overstrata.llm import decontaminate, ngram_join, packing, pii, toxicity
 from overstrata.llm.common import Table
 from overstrata.llm.queries import PII_KEY
+from overstrata.session import ship
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = Table(stage(spark, docs, sf_dir), name).df

@@ -16,14 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 #: Labelled documents of each class that a fit takes at most (those with the smallest hash of their id).
-FIT_ROWS_PER_CLASS = 2500
+FIT_ROWS_PER_CLASS = 4000
 #: Text bytes of one numpy step of a fit.
 FIT_STEP = 1 << 20
 BITS = 18  # features share 2**BITS weights, 1 MB in all
@@ -145,12 +144,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = FIT_ROWS_PER_C
     for label in (0, 1):
         part = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
         chosen = part if chosen is None else chosen.union(part)
-    # At most 2 * rows_per_class rows of two numbers: small by its limit.
-    rows = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    order = pc.sort_indices(found, [("doc_id", "ascending"), ("text", "ascending")])
-    labels = found["toxic"].take(order).to_numpy().astype(int)
-    return fit_texts(found["text"].take(order), labels, prior=rows.get(1, 0) / max(1, sum(rows.values())))
+    # At most 2 * rows_per_class rows of two numbers: small by its limit. The fit runs in one task over as many texts.
+    counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())]))
+        model = fit_texts(got["text"], got["toxic"].to_numpy().astype(int), prior=prior)
+        used = np.flatnonzero(model.weights).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([used.tobytes()], pa.binary()), pa.array([model.weights[used].tobytes()], pa.binary())], names=["bias", "used", "weights"])
+
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    row = sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "bias double, used binary, weights binary").first()
+    if row is None:  # no row of documents has a usable label
+        return fit_texts([], np.zeros(0, int))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[np.frombuffer(row.used, np.int32)] = np.frombuffer(row.weights, np.float32)
+    return Model(weights, row.bias)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, spans: bool = True) -> DataFrame:
