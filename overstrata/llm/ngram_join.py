@@ -199,11 +199,11 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     nodes = C.Table(rows.filter("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "texts").df
     signed = nodes.filter("signature is not null").select("text_key", "signature")
     found = C.components(candidates(signed, similarity, recall), "candidates")
-    # Numbers within a candidate group; blocks of them are compared with each other and themselves.
+    # A candidate group falls into blocks by hash, which are compared with each other and themselves.
     sizes = C.Table(found.groupBy("label").count(), "sizes").df
-    members = found.withColumnRenamed("node", "text_key").withColumn("number", F.expr("row_number() over (partition by label order by text_key) - 1"))
-    members = members.join(sizes, "label").join(nodes.select("text_key", "rep", "copies"), "text_key")
-    members = C.Table(members.select(F.col("rep").alias("doc_id"), "text_key", "label", "copies", (F.col("number") / BLOCK).cast("long").alias("number"), F.ceil(F.col("count") / BLOCK).alias("blocks")), "members").df
+    members = found.withColumnRenamed("node", "text_key").join(sizes, "label").join(nodes.select("text_key", "rep", "copies"), "text_key")
+    blocks = F.ceil(F.col("count") / BLOCK)
+    members = C.Table(members.select(F.col("rep").alias("doc_id"), "text_key", "label", "copies", F.pmod(F.xxhash64("text_key"), blocks).alias("number"), blocks.alias("blocks")), "members").df
     few = members.count() <= C.BROADCAST_ROWS // 2
     texts = docs.select("doc_id", "text").join(F.broadcast(members) if few else members, "doc_id")
     sets = texts.mapInArrow(lambda bs: _shingle_sets(bs, words), "text_key binary, label binary, copies long, number long, blocks long, shingles binary")
