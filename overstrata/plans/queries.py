@@ -130,12 +130,12 @@ def record_positional(spark, sf):
     return numbered.filter(F.col("position").isin(0, 17, 150)).select("position", "doc_id")
 
 
-_FLAGS = F.expr("cast(o_orderkey % 2 + 2 * (o_custkey % 2) + 4 * (o_orderkey % 8) as long)")
+_FLAGS = "cast(o_orderkey % 2 + 2 * (o_custkey % 2) + 4 * (o_orderkey % 8) as long)"
 
 
 @query("SELECT o_orderkey, o_orderkey % 2 + 2 * (o_custkey % 2) + 4 * (o_orderkey % 8) AS flags, 4 * (o_orderkey % 8) AS application_bits FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey % 2 = 1")
 def flag_filter(spark, sf):
-    o = V.load(spark, sf, "orders").select("o_orderkey", _FLAGS.alias("flags"))
+    o = V.load(spark, sf, "orders").select("o_orderkey", F.expr(_FLAGS).alias("flags"))
     return index.with_flags(o, M.DELETED | M.PERSISTENT).withColumn("application_bits", K.application_bits("flags"))
 
 
