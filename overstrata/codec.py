@@ -158,13 +158,20 @@ class Memory:
         return self.data[offset : offset + n]
 
 
+def file_system(path: str):
+    """(file system, path in it) of a local path or a URI."""
+    import pyarrow.fs as pafs
+
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
 class File:
     """Random access to a file of any file system that pyarrow opens."""
 
     def __init__(self, path: str):
-        import pyarrow.fs as pafs
-
-        fs, at = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        fs, at = file_system(path)
         self.f = fs.open_input_file(at)
         self.size = self.f.size()
 

@@ -99,13 +99,18 @@ def show_signature(raw: Column | str) -> Column:
     return F.array_join(F.transform(pairs, lambda p: F.when((p >= "21") & (p <= "7E"), F.chr(F.conv(p, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\x"), p))), "")
 
 
+def join_bytes(parts: Column | str) -> Column:
+    """The concatenation of an array of BINARY, in one pass: a fold would copy what it has so far at each step."""
+    return F.unhex(F.array_join(F.transform(c(parts), lambda x: F.hex(x)), ""))
+
+
 # --- records --------------------------------------------------------------------------------------
 
 
 def encode_fields(fields: Column | str) -> Column:
     """Bytes of an array of struct(signature, payload)."""
     framed = F.transform(c(fields), lambda x: F.concat(x["signature"], le32(F.length(x["payload"])), x["payload"]))
-    return F.aggregate(framed, F.unhex(F.lit("")), lambda a, x: F.concat(a, x))
+    return join_bytes(framed)
 
 
 def record_bytes(sig: Column | str, payload: Column | str, flags: Column | str, rid: Column | str, version_raw: Column | str, change: Column | str) -> Column:
@@ -122,7 +127,7 @@ def record_digest(sig: Column | str, payload: Column | str, flags: Column | str,
 
 def encode_list(items: Column | str) -> Column:
     """Bytes of an array of BINARY: count, then length and bytes of each."""
-    return F.aggregate(c(items), le32(F.size(c(items))), lambda a, x: F.concat(a, le32(F.length(x)), x))
+    return F.concat(le32(F.size(c(items))), join_bytes(F.transform(c(items), lambda x: F.concat(le32(F.length(x)), x))))
 
 
 def encode_set(items: Column | str) -> Column:
@@ -134,7 +139,7 @@ def encode_map(pairs: Column | str) -> Column:
     """Bytes of an array of struct(k, v), by key."""
     ordered = F.array_sort(c(pairs))
     keys = F.transform(c(pairs), lambda p: p["k"])
-    body = F.aggregate(ordered, le32(F.size(c(pairs))), lambda a, p: F.concat(a, le32(F.length(p["k"])), p["k"], le32(F.length(p["v"])), p["v"]))
+    body = F.concat(le32(F.size(c(pairs))), join_bytes(F.transform(ordered, lambda p: F.concat(le32(F.length(p["k"])), p["k"], le32(F.length(p["v"])), p["v"]))))
     return F.when(F.size(F.array_distinct(keys)) == F.size(keys), body).otherwise(F.raise_error(F.lit("DuplicateMapKey")).cast("binary"))
 
 

@@ -20,10 +20,9 @@ def le64(x: Column) -> Column:
 def change_set_id() -> Column:
     """The id of a change set row: SHA-256 of its canonical bytes, in the JVM."""
     empty = F.unhex(F.lit(""))
-    join = lambda a: F.aggregate(a, empty, lambda x, y: F.concat(x, y))
     blob = lambda t: F.concat(K.le32(F.octet_length(t)), F.encode(t, "UTF-8"))
     ops = F.transform("operations", lambda o: F.concat(F.unhex(F.lpad(F.hex(o["kind"].cast("long")), 2, "0")), K.le32(o["record_id"]), F.coalesce(o["previous"], empty), F.coalesce(o["digest"], empty)))
-    parts = [F.lit(b"PCP-CHANGE-SET\0"), K.le32(F.size("parents")), join(F.col("parents")), F.col("destination"), F.col("source"), le64(F.col("timestamp")), blob(F.col("author")), blob(F.col("message")), K.le32(F.size("operations")), join(ops)]
+    parts = [F.lit(b"PCP-CHANGE-SET\0"), K.le32(F.size("parents")), K.join_bytes("parents"), F.col("destination"), F.col("source"), le64(F.col("timestamp")), blob(F.col("author")), blob(F.col("message")), K.le32(F.size("operations")), K.join_bytes(ops)]
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import model as M
 from ..functions import columns as K
 from ..operators import compose, edit, graph, history, ids, index, merge, metadata, overrides, ranges, validate
+from ..sources import package_source
 from . import views as V
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -575,3 +576,33 @@ def hierarchy_rollup(spark, sf):
     t = V.tree(spark, sf).filter(F.col("record_id") >= V.CUSTOMER)
     t = t.select((F.get("above", F.lit(0))["id"] - V.REGION).cast("int").alias("region"), (F.get("above", F.lit(1))["id"] - V.NATION).cast("int").alias("nation"), "own_bytes")
     return t.rollup("region", "nation").agg(F.count("*").alias("n"), F.sum("own_bytes").alias("bytes"))
+
+
+# --- package files --------------------------------------------------------------------------------
+
+
+@query("SELECT (o_orderkey // 65536)::INT AS package_index, o_orderkey % 65536 + 2048 AS record_id, 'ITEM' AS signature, o_orderpriority AS priority, o_custkey AS custkey FROM orders")
+def package_records(spark, sf):
+    """Orders written as package files, read back through the data source and decoded."""
+    r = package_source.read(spark, V.order_packages(spark, sf), "records", split_bytes=4 << 20)
+    f = package_source.subrecords(r).groupBy("package_index", "record_id").agg(*[F.max(F.when(F.col("signature") == F.lit(s), F.col("payload"))).alias(a) for s, a in ((b"EDID", "e"), (b"VALU", "v"))])
+    named = r.select("package_index", "record_id", K.show_signature("signature").alias("signature"))
+    return named.join(f, ["package_index", "record_id"]).select("package_index", "record_id", "signature", F.decode("e", "UTF-8").alias("priority"), K.from_le("v").alias("custkey"))
+
+
+@query("""SELECT o_orderkey // 65536 AS package_index, 0 AS group_type, (16 + sum(52 + 8 + strlen(o_orderpriority) + 8 + 4))::BIGINT AS group_byte_count, 0 AS depth FROM orders GROUP BY o_orderkey // 65536""")
+def package_groups(spark, sf):
+    g = package_source.read(spark, V.order_packages(spark, sf), "groups")
+    return g.select(F.col("package_index").cast("long").alias("package_index"), "group_type", "group_byte_count", "depth")
+
+
+@query("SELECT o_orderkey // 65536 AS package_index, count(*) AS record_count, 'orders' AS schema_namespace, '0.1.0' AS package_version, 0 AS load_class FROM orders GROUP BY o_orderkey // 65536")
+def package_headers(spark, sf):
+    p = package_source.read(spark, V.order_packages(spark, sf), "packages")
+    return p.select(F.col("package_index").cast("long").alias("package_index"), "record_count", "schema_namespace", "package_version", "load_class")
+
+
+@query("SELECT o_orderkey // 65536 AS package_index, count(*) AS n_fields, sum(CASE WHEN s = 'EDID' THEN strlen(o_orderpriority) ELSE 4 END)::BIGINT AS n_bytes, s AS signature FROM orders, (VALUES ('EDID'), ('VALU')) t(s) GROUP BY o_orderkey // 65536, s")
+def package_subrecords(spark, sf):
+    s = package_source.read(spark, V.order_packages(spark, sf), "subrecords")
+    return s.groupBy(F.col("package_index").cast("long").alias("package_index"), K.show_signature("signature").alias("signature")).agg(F.count("*").alias("n_fields"), F.sum(F.octet_length("payload")).alias("n_bytes"))

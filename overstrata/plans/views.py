@@ -3,6 +3,8 @@ items as subrecords, documents records of packages by source, conversations chan
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from .. import model as M
 from ..functions import columns as K
 from ..operators import ids, ranges
 from ..operators.merge import dense_number
-from ..operators.tables import Table
+from ..operators.tables import Table, keep_until_exit, shared_dir
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -165,3 +167,38 @@ def field_arrays(spark: SparkSession, sf: str) -> DataFrame:
 FIELDS_SQL = """fields AS (SELECT l_orderkey AS record_id, l_linenumber % 2 AS half, l_returnflag AS signature, (l_partkey % 5)::VARCHAR AS payload,
         row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS ord FROM lineitem),
     dst AS (SELECT * FROM fields WHERE half = 1), src AS (SELECT * FROM fields WHERE half = 0)"""
+
+
+# --- orders: written as package files and read again ----------------------------------------------
+
+PER_PACKAGE = 1 << 16
+
+
+def order_packages(spark: SparkSession, sf: str) -> str:
+    """A folder with the orders as packages of up to 65,536 records each, in one group; the folder goes with the session."""
+    from .. import codec as B
+    from ..sources import package_sink, package_source
+
+    o = load(spark, sf, "orders")
+    local = F.pmod("o_orderkey", F.lit(PER_PACKAGE)) + M.FIRST_FULL_LOCAL
+    field = lambda s, v: F.struct(F.lit(s).alias("signature"), v.alias("payload"))
+    fields = F.array(field(b"EDID", F.encode("o_orderpriority", "UTF-8")), field(b"VALU", K.le32("o_custkey")))
+    step = "array(named_struct('header_offset', 0L, 'label', X'4954454D', 'group_type', 0))"
+    rows = o.select(
+        F.floor(F.col("o_orderkey") / PER_PACKAGE).cast("int").alias("package_index"), (local + 1).cast("long").alias("pre_order"), F.lit(b"ITEM").alias("signature"), K.encode_fields(fields).alias("payload"),
+        F.lit(0).cast("long").alias("flags"), local.cast("long").alias("record_id"), F.unhex(F.lit("0000803F")).alias("version_raw"), F.unhex(F.lit("00" * 32)).alias("last_change_set"), F.expr(step).alias("path"),
+    )
+
+    @F.udf("binary", useArrow=True)
+    def header(index, n):
+        return B.Header((int(index) + 1).to_bytes(16, "big"), next_local=PER_PACKAGE + M.FIRST_FULL_LOCAL, record_count=int(n), owned_record_count=int(n), schema_namespace="orders").encode()
+
+    folder = f"{shared_dir(spark)}/overstrata-packages-{uuid.uuid4().hex[:12]}"
+    keep_until_exit(spark, folder)
+    B.file_system(folder)[0].create_dir(B.file_system(folder)[1])
+    counts = rows.groupBy("package_index").agg(F.count("*").alias("n"))
+    packages = counts.select("package_index", F.concat(F.lit(folder + "/"), F.lpad(F.col("package_index").cast("string"), 8, "0"), F.lit(".pcp")).alias("path"), header("package_index", "n").alias("header"))
+    groups = counts.select("package_index", F.lit(0).cast("long").alias("pre_order"), F.lit(0).cast("long").alias("header_offset"), F.lit(b"ITEM").alias("label"), F.lit(0).alias("group_type"), F.expr(f"filter({step}, x -> false)").alias("path"))
+    package_source.register(spark)
+    package_sink.encode_packages(packages, groups, rows).select("path", "content").write.format("overstrata").mode("append").save()
+    return folder

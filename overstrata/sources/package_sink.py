@@ -54,24 +54,23 @@ class PackageWriter(DataSourceWriter):
         for row in iterator:
             path, image = row["path"], bytes(row["content"])
             B.build_index(B.Memory(image))
-            pending = f"{path}.{os.urandom(4).hex()}.pending"
-            with open(pending, "xb") as f:
+            fs, at = B.file_system(path)
+            pending = f"{at}.{os.urandom(4).hex()}.pending"
+            with fs.open_output_stream(pending, compression=None) as f:
                 f.write(image)
-                f.flush()
-                os.fsync(f.fileno())
             out.append((pending, path))
         return _Written(out)
 
     def commit(self, messages: list) -> None:
         for m in messages:
             for pending, path in m.files:
-                os.replace(pending, path)
+                fs, at = B.file_system(path)
+                fs.move(pending, at)
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            for pending, _ in m.files if m else ():
-                if os.path.exists(pending):
-                    os.unlink(pending)
+            for pending, path in m.files if m else ():
+                B.file_system(path)[0].delete_file(pending)
 
 
 def encode_packages(packages: DataFrame, groups: DataFrame, records: DataFrame) -> DataFrame:
@@ -90,5 +89,5 @@ def encode_packages(packages: DataFrame, groups: DataFrame, records: DataFrame)
     size = F.coalesce("below", F.lit(0)) + head
     grp = sized.select("package_index", "pre_order", F.concat(F.lit(M.GROUP_SIGNATURE), K.le32(size), F.col("label"), K.le32(F.pmod(F.col("group_type").cast("long"), F.lit(1 << 32)))).alias("bytes"))
     body = rec.drop("path").unionByName(grp).groupBy("package_index").agg(F.array_sort(F.collect_list(F.struct("pre_order", "bytes"))).alias("e"))
-    content = F.aggregate("e", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["bytes"]))
+    content = K.join_bytes(F.transform("e", lambda x: x["bytes"]))
     return packages.join(body, "package_index", "left").select("package_index", "path", F.concat("header", F.coalesce(content, F.unhex(F.lit("")))).alias("content"))

@@ -39,10 +39,19 @@ ROWS_PER_BATCH = 4096
 
 
 def files(path: str) -> list[str]:
+    """Paths in their order; a folder stands for its packages by name, a local glob for what it finds, sorted."""
+    import pyarrow.fs as pafs
+
     out = []
     for part in path.split(","):
         if "://" not in part and any(c in part for c in "*?["):
             out += sorted(glob.glob(part))
+            continue
+        fs, at = B.file_system(part)
+        if fs.get_file_info(at).type == pafs.FileType.Directory:
+            found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.path.endswith((f".{M.PACKAGE_EXTENSION}", f".{M.SAVE_EXTENSION}")))
+            scheme = part.partition("://")[0] + "://" if "://" in part else ""
+            out += [scheme + x for x in found]
         else:
             out.append(part)
     return out
