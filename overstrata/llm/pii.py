@@ -42,99 +42,92 @@ def _text(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _feistel(left: str, right: str, a: str, b: str, tweak: str, key: str) -> str:
-    """SQL for the pair (l, r) in Z_a x Z_b after the rounds: each adds a keyed hash of one half to the other."""
-
-    def f(half: str, modulus: str) -> str:
-        hashed = f"sha2(concat_ws('|', {_text(key)}, {tweak}, cast(i as string), cast(s.{half} as string)), 256)"
-        return f"pmod(cast(conv(substr({hashed}, 1, 15), 16, 10) as bigint), {modulus})"
-
-    return (
-        f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', cast({left} as bigint), 'r', cast({right} as bigint)), (s, i) -> "
-        f"if(i % 2 = 0, named_struct('l', pmod(s.l + {f('r', a)}, {a}), 'r', s.r), named_struct('l', s.l, 'r', pmod(s.r + {f('l', b)}, {b}))))"
-    )
-
-
 def _let(value: str, name: str, body: str) -> str:
     """SQL for body with a name for a value, which is computed once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _digits(d: str, tweak: str, key: str, radix: int = 10) -> str:
-    """SQL for the permuted digits of a string of up to 19 digits (or up to 24 hexadecimal ones)."""
-    u, v = f"cast(floor(length({d}) / 2) as int)", f"cast(ceil(length({d}) / 2) as int)"
-    number = (lambda x: f"cast(coalesce(nullif({x}, ''), '0') as bigint)") if radix == 10 else (lambda x: f"cast(conv(concat('0', {x}), {radix}, 10) as bigint)")
-    shown = (lambda x, n: f"if({n} = 0, '', lpad(cast({x} as string), {n}, '0'))") if radix == 10 else (lambda x, n: f"if({n} = 0, '', lpad(lower(conv(cast({x} as string), 10, {radix})), {n}, '0'))")
-    power = lambda n: f"cast(pow({radix}, {n}) as bigint)"
-    pair = _feistel(number(f"substr({d}, 1, {u})"), number(f"substr({d}, {u} + 1)"), power(u), power(v), f"concat({_text(tweak)}, cast(length({d}) as string))", key)
-    return f"if({d} = '', '', {_let(pair, 'p', f'concat({shown("p.l", u)}, {shown("p.r", v)})')})"
-
+def _permute(x: str, key: str) -> str:
+    """SQL for the permuted characters of a struct (t: tweak, d: up to 19 digits, radix).
 
-def _refill(shape: str, digits: str, kind: str) -> str:
-    """SQL that puts characters, in order, where ``shape`` has characters of a kind."""
-    at = f"length(regexp_replace(substr({shape}, 1, k), '[^{kind}]', ''))"
-    return f"array_join(transform(sequence(1, length({shape})), k -> if(substr({shape}, k, 1) rlike '[{kind}]', substr({digits}, {at}, 1), substr({shape}, k, 1))), '')"
+    A number of radix r and n digits is a pair in Z_a x Z_b with a = r^floor(n/2) and b = r^ceil(n/2); each round adds a keyed
+    hash of one half to the other. Radix 0 stands for a day of 400 years, as a pair in Z_189 x Z_773.
+    """
+    n = f"length({x}.d)"
+    u, v = f"cast(floor({n} / 2) as int)", f"cast(ceil({n} / 2) as int)"
+    day = f"{x}.radix = 0"
+    half = lambda part: f"cast(conv(concat('0', {part}), {x}.radix, 10) as bigint)"
+    start = (
+        f"named_struct('l', if({day}, cast({x}.d as bigint) div 773, {half(f'substr({x}.d, 1, {u})')}), 'r', if({day}, cast({x}.d as bigint) % 773, {half(f'substr({x}.d, {u} + 1)')}),"
+        f" 'a', if({day}, 189L, cast(pow({x}.radix, {u}) as bigint)), 'b', if({day}, 773L, cast(pow({x}.radix, {v}) as bigint)))"
+    )
+    parts = f"{_text(key)}, {x}.t, if({day}, '', cast({n} as string)), cast(i as string), cast(if(i % 2 = 0, s.r, s.l) as string)"
+    hashed = f"cast(conv(substr(sha2(concat_ws('|', {parts}), 256), 1, 15), 16, 10) as bigint)"
+    step = "named_struct('l', if(i % 2 = 0, pmod(s.l + h, s.a), s.l), 'r', if(i % 2 = 0, s.r, pmod(s.r + h, s.b)), 'a', s.a, 'b', s.b)"
+    rounds = f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, i) -> {_let(hashed, 'h', step)})"
+    shown = lambda y, k: f"lpad(lower(conv(cast({y} as string), 10, {x}.radix)), {k}, '0')"
+    return _let(rounds, "p", f"if({day}, cast(p.l * 773 + p.r as string), concat({shown('p.l', u)}, {shown('p.r', v)}))")
 
 
 def _luhn(d: str) -> str:
     """SQL for Luhn's sum of digits, modulo 10; 0 if the last one is right."""
     digit = f"cast(substr({d}, length({d}) - j, 1) as int)"
-    return f"aggregate(sequence(0, length({d}) - 1), 0, (t, j) -> t + if(j % 2 = 0, {digit}, if({digit} > 4, 2 * {digit} - 9, 2 * {digit}))) % 10"
+    return f"aggregate(sequence(0, length({d}) - 1), 0, (t, j) -> t + {_let(digit, 'c', 'if(j % 2 = 0, c, if(c > 4, 2 * c - 9, 2 * c))')}) % 10"
 
 
-def _letters(d: str, key: str) -> str:
-    """SQL for permuted letters a-z: each run of up to 12 is a number of base 26, chained by what comes before it.
+_AZ, _26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 
-    A letter is a digit of base 26, which Spark's conv writes 0-9 and a-p.
-    """
-    base26 = f"translate({d}, 'abcdefghijklmnopqrstuvwxyz', '0123456789abcdefghijklmnop')"
-    chunk = lambda k: f"substr(w, {12 * k + 1}, 12)"
-    parts = [_digits(chunk(k), f"letters{k}", key, 26) for k in range(6)]
-    # A longer name keeps its letters beyond the 72nd; the standard allows 64.
-    whole = f"concat({', '.join(parts)}, substr(w, 73))"
-    return _let(base26, "w", f"translate({whole}, '0123456789abcdefghijklmnop', 'abcdefghijklmnopqrstuvwxyz')")
 
+def _chunk(t: str, d: str, radix: int) -> str:
+    return f"named_struct('t', {t}, 'd', {d}, 'radix', {radix})"
 
-def _pseudonym(m: str, key: str) -> str:
-    """SQL for the pseudonym of a match."""
-    plain = f"regexp_replace({m}, '[^0-9]', '')"
-    name, domain = f"substring_index({m}, '@', 1)", f"substr({m}, length(substring_index({m}, '@', 1)) + 1)"
-    name_digits = _let(f"regexp_replace({name}, '[^0-9]', '')", "d", f"concat({_digits('substr(d, 1, 18)', 'mail', key)}, substr(d, 19))")
-    name_letters = _let(f"regexp_replace(lower({name}), '[^a-z]', '')", "q", _letters("q", key))
-    mail = f"concat({_refill(_refill(f'lower({name})', name_letters, 'a-z'), name_digits, '0-9')}, {domain})"
-    country = f"regexp_extract({m}, '^\\\\+[0-9]*', 0)"
-    # The country code is what stands before the last ten digits.
-    own = _let(plain, "d", f"concat(substr(d, 1, length(d) - 10), {_digits('right(d, 10)', 'phone', key)})")
-    ip = f"transform(split({m}, '[.]'), x -> cast(x as bigint))"
-    pair = _feistel("o[0] * 256 + o[1]", "o[2] * 256 + o[3]", "65536", "65536", "'ip'", key)
-    ip = _let(ip, "o", _let(pair, "p", "concat_ws('.', cast(p.l div 256 as string), cast(p.l % 256 as string), cast(p.r div 256 as string), cast(p.r % 256 as string))"))
-    body = _digits("left(d, length(d) - 1)", "luhn", key)
-    sums = f"{_luhn('concat(c, x)')}"
-    check = f"cast(pmod(10 - {sums.replace('concat(c, x)', '''concat(c, '0')''')}, 10) as string)"
-    card = _let(plain, "d", f"if({_luhn('d')} = 0, {_let(body, 'c', f'concat(c, {check})')}, {_let(_digits('left(d, length(d) - 1)', 'other', key), 'c', _other_check())})")
-    dates = "".join(f" when {m} rlike '^{p.replace(chr(92), chr(92) * 2)}$' then {_date(m, shape, key)}" for shape, p in _DATE.items())
-    q = lambda p: _text(f"^(?:{p})$")
-    hexa = "array_join(transform(sequence(0, 2), z -> substr(lower({m}), 1 + 24 * z, 24)), '')"
-    hexa = "concat(" + ", ".join(_digits(f"substr(lower({m}), {1 + 24 * z}, 24)", f"hex{z}", key, 16) for z in range(3)) + ")"
-    return (
-        f"case when instr({m}, '@') > 0 then {mail} when {country} <> '' then {_refill(m, own, '0-9')} when {m} rlike {q(_IP)} then {ip}{dates}"
-        f" when {m} rlike {q(_SSN)} then {_refill(m, _let(plain, 'd', _digits('d', 'ssn', key)), '0-9')} when {m} rlike '^[0-9 -]+$' and length({plain}) < 20 then {_refill(m, card, '0-9')}"
-        f" when {m} rlike '[A-F]' and {m} not rlike '[a-f]' then upper({hexa}) else {hexa} end"
-    )
 
+def _pseudonym(m: str, key: str) -> str:
+    """SQL for the pseudonym of a match: its kind, the pieces of it that are permuted, all by one expression, and the whole again.
 
-def _other_check() -> str:
-    """SQL for the last digit of a number that fails Luhn's check: it keeps its distance from the right digit."""
-    right = lambda x: f"pmod(10 - {_luhn(f'''concat({x}, '0')''')}, 10)"
-    return f"concat(c, cast(pmod({right('c')} + cast(right(d, 1) as int) - {right('left(d, length(d) - 1)')}, 10) as string))"
+    k: kind; w: the text whose shape stays; q: its letters as digits of base 26; g: its decimal digits; o: permuted pieces.
+    """
+    whole = lambda p: _text(f"^(?:{p})$")
+    dates = " ".join(f"when {m} rlike {whole(p)} then {_text(shape)}" for shape, p in _DATE.items())
+    kind = (
+        f"case when instr({m}, '@') > 0 then 'mail' when {m} rlike '^[+]' then 'phone' when {m} rlike {whole(_IP)} then 'ip' {dates}"
+        f" when {m} rlike {whole(_SSN)} then 'ssn' when {m} rlike '^[0-9 -]+$' and length(regexp_replace({m}, '[^0-9]', '')) < 20 then 'card' else 'hex' end"
+    )
+    day = "cast(datediff(cast(try_to_timestamp(w, k) as date), date'1800-01-01') as string)"
+    octets = "array_join(transform(split(w, '[.]'), y -> lpad(hex(cast(y as bigint)), 2, '0')), '')"
+    tweak = f"if({_luhn('g')} = 0, 'luhn', 'other')"
+    mail = f"concat(transform(sequence(0, 5), z -> {_chunk(_cat('letters'), 'substr(q, 12 * z + 1, 12)', 26)}), array({_chunk('k', 'substr(g, 1, 18)', 10)}))"
+    chunks = (
+        f"case when k = 'mail' then {mail} when k = 'phone' then array({_chunk('k', 'right(g, 10)', 10)}) when k = 'ssn' then array({_chunk('k', 'g', 10)})"
+        f" when k = 'ip' then array({_chunk('k', octets, 16)}) when k = 'card' then array({_chunk(tweak, 'left(g, length(g) - 1)', 10)})"
+        f" when k = 'hex' then transform(sequence(0, 3), z -> {_chunk(_cat('hex'), 'substr(lower(w), 16 * z + 1, 16)', 16)}) else array({_chunk(_text('date'), day, 0)}) end"
+    )
+    letters = f"concat(translate(array_join(slice(o, 1, 6), ''), '{_26}', '{_AZ}'), substr(translate(q, '{_26}', '{_AZ}'), 73))"
+    # A card's last digit is as far from the right check digit as it was.
+    right = lambda x: f"pmod(10 - {_luhn(x)}, 10)"
+    before, after = "concat(left(g, length(g) - 1), '0')", "concat(o[0], '0')"
+    last = f"cast(pmod({right(after)} + cast(right(g, 1) as int) - {right(before)}, 10) as string)"
+    digits = f"case k when 'mail' then concat(o[6], substr(g, 19)) when 'phone' then concat(left(g, length(g) - 10), o[0]) when 'card' then concat(o[0], {last}) else o[0] end"
+    at = lambda c: f"length(regexp_replace(left(w, z), '[^{c}]', ''))"
+    char = f"case when k = 'mail' and c rlike '[a-z]' then substr(f.a, {at('a-z')}, 1) when c rlike '[0-9]' then substr(f.n, {at('0-9')}, 1) else c end"
+    filled = f"array_join(transform(sequence(1, length(w)), z -> {_let('substr(w, z, 1)', 'c', char)}), '')"
+    filled = _let(f"named_struct('a', if(k = 'mail', {letters}, ''), 'n', {digits})", "f", filled)
+    quad = "array_join(transform(sequence(0, 3), z -> conv(substr(o[0], 2 * z + 1, 2), 16, 10)), '.')"
+    moved = "if(o[0] is null, w, date_format(date_add(date'1800-01-01', cast(o[0] as int)), k))"
+    body = (
+        f"case when k in ('mail', 'phone', 'ssn', 'card') then concat({filled}, if(k = 'mail', substr({m}, length(w) + 1), '')) when k = 'ip' then {quad}"
+        f" when k = 'hex' then if(w = upper(w), upper(array_join(o, '')), array_join(o, '')) else {moved} end"
+    )
+    known = "coalesce(y.radix > 0 or cast(y.d as bigint) between 0 and 146096, false)"  # dates out of range stay
+    body = _let(f"transform({chunks}, y -> if({known}, {_permute('y', key)}, null))", "o", body)
+    body = _let("regexp_replace(w, '[^0-9]', '')", "g", body)
+    body = _let(f"if(k = 'mail', translate(regexp_replace(w, '[^a-z]', ''), '{_AZ}', '{_26}'), '')", "q", body)
+    body = _let(f"if(k = 'mail', lower(substring_index({m}, '@', 1)), {m})", "w", body)
+    return _let(kind, "k", body)
 
 
-def _date(m: str, shape: str, key: str) -> str:
-    """SQL for a date of the 146,097 = 189 x 773 days of 400 years; others stay."""
-    day = f"datediff(cast(try_to_timestamp({m}, '{shape}') as date), date'1800-01-01')"
-    pair = _feistel("y div 773", "y % 773", "189", "773", "'date'", key)
-    moved = f"date_format(date_add(date'1800-01-01', cast(p.l * 773 + p.r as int)), '{shape}')"
-    return _let(day, "y", f"if(y is null or y < 0 or y >= 146097, {m}, {_let(pair, 'p', moved)})")
+def _cat(name: str) -> str:
+    return f"concat('{name}', z)"
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
