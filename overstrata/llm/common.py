@@ -12,10 +12,19 @@ from pyspark.sql import DataFrame
 from ..operators.tables import Table, delete, keep_until_exit, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
+#: Rows that Spark hands to a Python worker at once.
+BATCH_ROWS = 2000
 #: Rows up to which a table of a few numbers per row may be broadcast (about 16 bytes a row).
 BROADCAST_ROWS = 1_000_000
 
+def bounded_batches(df: DataFrame) -> None:
+    """Let the session's Arrow batches hold no more than ``BATCH_ROWS`` rows: texts are long, and two workers share an executor."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 # ---------------------------------------------------------------------------------------------------
 # Words of many texts at once. A text is UTF-8; bytes from 128 on count as letters, and only A-Z are folded.
 
@@ -92,7 +101,9 @@ def steps(column: pa.Array | pa.ChunkedArray, step_bytes: int = STEP_BYTES) -> I
     """(first row, end row, bytes, offsets) of runs of texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if not len(column):
         return
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

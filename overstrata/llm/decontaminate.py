@@ -153,6 +153,7 @@ def _blocks(benchmark: DataFrame, min_match: int) -> Iterator[Benchmark]:
 
 def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, matched_words, longest) of each document and item tiled to ``coverage`` or more."""
+    C.bounded_batches(docs)
     out = None
     for block in _blocks(benchmark, min_match):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -198,6 +199,7 @@ def cover(text: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int,
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
     """docs without those that hold a benchmark item; decided row by row, so nothing is shuffled."""
+    C.bounded_batches(docs)
     out = docs
     for block in _blocks(benchmark, min_match):
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -195,6 +195,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     other documents of similarity >= ``similarity``, copies among them; n_text_links the different texts; n_copies the
     documents of the same text, itself among them.
     """
+    C.bounded_batches(docs)
     rows = C.Table(signatures(docs, words), "signatures").df
     nodes = C.Table(rows.filter("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "texts").df
     signed = nodes.filter("signature is not null").select("text_key", "signature")

@@ -158,6 +158,7 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, end_id: int = END_ID, voca
 
 def pack(docs: DataFrame, sequence: int = SEQUENCE, end_id: int = END_ID, open_bins: int = OPEN_BINS, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
     """``pieces`` with sequence_id and offset. Only pieces that don't fill a sequence are shuffled, as numbers."""
+    C.bounded_batches(docs)
     cut = C.Table(pieces(docs, sequence, end_id, vocabulary, ranks), "pieces").df
     partial, full = cut.filter(F.col("length") < sequence), cut.filter(F.col("length") >= sequence)
     tasks = max(1, -(-partial.count() // PIECES_PER_TASK))

@@ -140,6 +140,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = FIT_ROWS_PER_CLASS) -> Model:
     """Learn from labels (doc_id, toxic) outside the held-out fold; an id with several labels counts as toxic if one says so."""
     chosen = None
+    C.bounded_batches(docs)
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     for label in (0, 1):
         part = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
@@ -165,6 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = FIT_ROWS_PER_C
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, spans: bool = True) -> DataFrame:
     """docs (doc_id, text) with score, predicted and the offending sentences as (start, end, score), in bytes of the text."""
+    C.bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the input
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("offending", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
 
@@ -186,6 +188,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, spans: bool = T
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs without the toxic ones; all columns and all other rows stay as they are."""
+    C.bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

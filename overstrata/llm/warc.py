@@ -224,6 +224,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
     """Write pages, normalise the archives and read them back. The normalised archives stay in ``folder``."""
+    C.bounded_batches(pages)
     folder = folder or f"{C.shared_dir(spark)}/overstrata-warc-{uuid.uuid4().hex[:12]}"
     C.keep_until_exit(spark, folder)
     listing = C.Table(write(pages, f"{folder}/raw"), "records").df
