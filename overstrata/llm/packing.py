@@ -70,7 +70,7 @@ class Packer:
 class _Ids(dict):
     """Little-endian ids of a word, by the word with the blank before it. Cleared when it grows beyond its bound."""
 
-    LIMIT, LONGEST = 1_500_000, 48
+    LIMIT, LONGEST = 250_000, 48
 
     def __init__(self, encode):
         super().__init__()
