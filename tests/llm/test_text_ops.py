@@ -103,6 +103,50 @@ def test_dedup_against_brute_force(spark, monkeypatch, length):
     assert got == brute_dedup(rows, length)
 
 
+def hot_rows(n):
+    rng = random.Random(9)
+    text = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    passage = text(150)
+    return [(i, text(60) + (passage if i % 3 == 0 else text(40)) + text(60)) for i in range(n)]
+
+
+def test_dedup_of_a_hot_passage(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 20, raising=False)
+    monkeypatch.setattr(suffix_dedup, "SHARD_TEXT", 5_000)
+    rows = hot_rows(300)
+    rows += [(i - 7, t[20:] + t[:90]) for i, t in rows[:60]] + [(None, rows[0][1]), (400, rows[3][1][:120] + "\0é" + rows[3][1][50:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in suffix_dedup.dedup(df, with_text=True).collect()), key=str)
+    assert got == brute_dedup(rows, 50)
+
+
+def test_hot_passage_is_spread_over_shards():
+    """The strings next to a passage of a third of the documents don't share one shard."""
+    import pyarrow as pa
+
+    S, shards, rows = suffix_dedup, 20, hot_rows(3000)
+    batch = pa.RecordBatch.from_pydict({"doc_key": pa.array(range(3000), pa.int64()), "doc_id": pa.array(range(3000), pa.int64()), "text": [t for _, t in rows]})
+
+    def dealt(batches):
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["part"])
+        return [pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64()), ("doc_key", pa.int64()), ("blob", pa.binary())]))]
+
+    shared = dealt(S._find_shared(iter(dealt(S._send_anchors(iter([batch]), shards, 50))), shards, 100))
+    found = [r for b in S._gather(iter(shared), 1) for r in b.to_pylist()]
+    hot = np.concatenate([S._unpack(r["blob"], np.uint64)[0] for r in found if r["part"] == 1])
+    wanted = {r["doc_key"]: r["blob"] for r in found if r["part"] == 0}
+    batch = batch.filter(pa.array([k in wanted for k in range(3000)])).append_column("blob", pa.array([wanted[k] for k in range(3000) if k in wanted], pa.binary()))
+
+    def largest(hot):
+        size = defaultdict(int)
+        for r in dealt(S._send_contexts(iter([batch]), shards, 50, hot))[0].to_pylist():
+            size[r["part"]] += len(S._unpack(r["blob"], np.uint8)[0])
+        return max(size.values()) / sum(size.values())
+
+    assert largest(np.zeros(0, np.uint64)) > 0.2  # all strings around one anchor in one shard
+    assert largest(hot) < 0.07
+
+
 def test_dedup_empty(no_docs):
     assert suffix_dedup.dedup(no_docs).count() == 0
 
