@@ -14,7 +14,7 @@ PACKAGE_EXTENSION, SAVE_EXTENSION = "pcp", "sdp"
 HEADER_SIGNATURE, GROUP_SIGNATURE = b"PKHD", b"GRUP"
 FORMAT_VERSION = 4
 RECORD_HEADER_BYTES, GROUP_HEADER_BYTES, SUBRECORD_HEADER_BYTES = 52, 16, 8
-MAX_LOCAL = 0xFFFFFF
+MAX_LOCAL, MAX_COMPACT_LOCAL = 0xFFFFFF, 0xFFF
 FIRST_FULL_LOCAL, FIRST_COMPACT_LOCAL = 0x800, 1
 MAX_DEPENDENCIES = 254
 MAX_FULL, MAX_COMPACT, MAX_COMPACT_OWNED = 254, 4096, 4096

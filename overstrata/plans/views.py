@@ -43,10 +43,14 @@ def event_dependencies(packages: DataFrame) -> DataFrame:
 
 
 def event_records(spark: SparkSession, sf: str, packages: DataFrame) -> DataFrame:
-    """The latest event of each user in each package is the package's record of the user."""
+    """The latest event of each user in each package is the package's record of the user.
+
+    A compact package has 12-bit local ids; users beyond them belong to the first package. Users beyond 24 bits are an error.
+    """
     e = load(spark, sf, "events").join(F.broadcast(packages.select("event_type", "package_index")), "event_type")
-    local = F.pmod("user_id", F.lit(2000)) + M.FIRST_FULL_LOCAL
-    owner = F.least(F.pmod("user_id", F.lit(3)), F.col("package_index")).cast("long")
+    local = F.col("user_id") + M.FIRST_FULL_LOCAL
+    owner = F.least(F.pmod("user_id", F.lit(3)), F.col("package_index"))
+    owner = F.when((owner == 1) & (local > M.MAX_COMPACT_LOCAL), 0).otherwise(owner).cast("long")
     keyed = e.select("package_index", K.record_id(owner, local).alias("record_id"), "event_id", "ts", "value")
     latest = keyed.groupBy("package_index", "record_id").agg(F.max("event_id").alias("event_id"))
     return latest.withColumns({"signature": F.when(F.col("event_id") % 7 == 0, "USRB").otherwise("USRA"), "flags": F.when(F.col("event_id") % 11 == 0, 1).otherwise(0).cast("long")})

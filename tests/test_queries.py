@@ -57,3 +57,25 @@ def test_entry(spark):
 def test_repaired_order(spark):
     place = {r.package: r.position for r in Q.load_order_repair(spark, SF).collect()}
     assert all(place[n] > place[n + 1] for n in place if n % 4 != 3 and n + 1 in place)
+
+
+def test_every_user_has_a_record(spark, tmp_path):
+    """Users that agree modulo 2,000 stay apart, in the compact package too; ids beyond 24 bits are an error."""
+    users = [*range(0, 9000, 7), 1, 2001, 4001, 6001, 16_000_000]
+    rows = [(i, "abcde"[i % 5], users[(i // 5) % len(users)], datetime.datetime(2024, 1, 1), 1.0) for i in range(10 * len(users))]
+    schema = "event_id long, event_type string, user_id long, ts timestamp, value double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events.parquet")
+    latest, chains = {}, {}
+    for i, kind, u, *_ in rows:
+        latest[kind, u] = i
+    for kind, u in sorted(latest):
+        owner = min(u % 3, "abcde".index(kind))
+        chains.setdefault((u, 0 if owner == 1 and u + 2048 > 4095 else owner), []).append(latest[kind, u])
+    got = Q.override_chain_winner(spark, str(tmp_path)).collect()
+    assert sorted((r.chain_length, r.event_id) for r in got) == sorted((len(c), c[-1]) for c in chains.values())
+    assert len(got) == len({r.runtime_id for r in got}) == len(chains)
+    members = Q.override_chain_members(spark, str(tmp_path))
+    assert sorted(r.event_id for r in members.collect()) == sorted(latest.values())
+    spark.createDataFrame([(1, "a", 1 << 24, datetime.datetime(2024, 1, 1), 1.0)], schema).write.parquet(f"{tmp_path}/far/events.parquet")
+    with pytest.raises(Exception, match="LocalIdentifierOutOfRange"):
+        Q.override_chain_winner(spark, f"{tmp_path}/far").collect()
