@@ -11,6 +11,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -89,9 +90,13 @@ class Tokens:
     """Token ids as little-endian unsigned 32-bit bytes.
 
     The pattern of the byte-level vocabulary never joins a word with what stands before its blank, so texts are cut
-    before blanks and words are looked up. Texts with blanks in a row, or with a special token's string, are encoded whole.
+    before blanks and words are looked up. A run of white space is one of its pieces, without the last character before a
+    word; texts with a blank inside such a piece, or with a special token's string, are encoded whole.
     """
 
+    #: A blank after white space that no word follows at once. Every white space of the vocabularies is one of Python's.
+    UNSAFE = re.compile(r"\s (?:\s|\Z)")
+
     def __init__(self, vocabulary: str, ranks: str):
         import array
         import base64
@@ -112,7 +117,7 @@ class Tokens:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if "  " in text or any(s in text for s in self.special):
+        if "  " in text or self.UNSAFE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
         return (self.part(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))

@@ -25,6 +25,21 @@ def test_tokens_are_the_tokenizer_s(text):
     assert got == ids_of(text)
 
 
+NBSP = "\u00a0"
+
+
+@pytest.mark.parametrize("text", ["a" + f" {NBSP}" * 2 + " b", f"a{NBSP}" + f" {NBSP}" * 3 + "b", "x\n \ny", "x\n ", "x\t \u3000 \u2003 y"])
+def test_tokens_of_mixed_white_space(text):
+    assert np.frombuffer(packing.tokenizer()(text) + (2).to_bytes(4, "little"), "<u4").tolist() == ids_of(text)
+
+
+def test_tokens_of_random_white_space():
+    rng, odd = random.Random(11), [" ", " ", " ", NBSP, "\n", "\t", "\r", "\u0085", "\u2028", "\u3000", "\u2003", "\u180e", "\u200b", "\ufeff", "\x1c", "a", "7", "'s", "."]
+    for _ in range(20_000):
+        text = "".join(rng.choice(odd) for _ in range(rng.randrange(1, 9)))
+        assert np.frombuffer(packing.tokenizer()(text) + (2).to_bytes(4, "little"), "<u4").tolist() == ids_of(text), text
+
+
 def test_packing(odd_docs, no_docs):
     rows = packing.pack(odd_docs).collect()
     places, pieces = defaultdict(list), defaultdict(list)
