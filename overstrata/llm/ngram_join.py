@@ -1,10 +1,10 @@
 """Similarity join of documents on their runs of five words (Jaccard of 0.8 or more), by chosen paths.
 
-Every distinct text has a signature of sampled tokens: for each of 64 hash functions the shingle with the least
-value. A run starts from one sampled token and splits the texts by it; buckets that are still large are split again by
-a token that the path so far chooses, and small ones are compared by brute force. Two texts of similarity s stay
-together in one split with chance s, so runs are repeated until pairs at the threshold are met with the target
-recall even at the greatest depth. Buckets that stay large at that depth agree in all their sampled tokens and go on as
+Every distinct text has a signature of sampled tokens: for each hash function the shingle with the least value. Each run has
+hash functions of its own, one for each depth, so runs are independent. A run starts from its first token and splits the
+texts by it; buckets that are still large are split again by the next one, and small ones are compared by brute force
+on the whole signature. Two texts of similarity s stay together in one split with chance s, so runs are repeated until
+pairs at the threshold are met with the target recall even at the greatest depth. Buckets that stay large at that depth agree in all their sampled tokens and go on as
 candidates as a whole.
 
 Buckets only yield a star for each group of likely matches, never pairs. Stars joined up give candidate groups; in
@@ -32,19 +32,29 @@ from . import common as C
 
 WORDS = 5
 SIMILARITY = 0.8
-RECALL = 0.97  # of a pair just at the threshold that is split to the full depth; 0.999 and more for shallower ones
-COORDINATES = 64
+RECALL = 0.99  # of a pair just at the threshold that is split to the full depth; more for shallower ones
 SMALL = 64
 DEPTH = 6
 BLOCK = 256
-_SEEDS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 32, (2, COORDINATES), dtype=np.uint32)
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def run_count(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**DEPTH))
+
+
+def floor(similarity: float, coordinates: int) -> float:
+    """The least share of equal tokens of a likely match: five deviations under the threshold, a loss of some millionths at it."""
+    return similarity - 5 * math.sqrt(similarity * (1 - similarity) / coordinates)
+
+
+def signatures(docs: DataFrame, words: int = WORDS, runs: int | None = None) -> DataFrame:
     """(doc_id, text_key, signature): a 128-bit hash of the text and its least sampled tokens (null without words)."""
 
+    coordinates = (runs or run_count()) * DEPTH
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor, shift = _SEEDS[0] | np.uint32(1), _SEEDS[1]
+        seeds = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 32, (2, coordinates), dtype=np.uint32)
+        factor, shift = seeds[0] | np.uint32(1), seeds[1]
         for batch in batches:
             keys, found = [], [None] * batch.num_rows
             for at, to, data, offsets in C.steps(batch.column("text")):
@@ -54,8 +64,8 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 if len(h):
                     x = (h >> np.uint64(32)).astype(np.uint32)
                     first = np.flatnonzero(np.diff(doc, prepend=-1))
-                    sig = np.empty((len(first), COORDINATES), np.uint32)
-                    for c in range(COORDINATES):
+                    sig = np.empty((len(first), coordinates), np.uint32)
+                    for c in range(coordinates):
                         sig[:, c] = np.minimum.reduceat(x * factor[c] + shift[c], first)
                     for i, d in enumerate(doc[first]):
                         found[at + d] = sig[i].tobytes()
@@ -69,16 +79,16 @@ def _stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
     for t, at in C.whole_groups(batches, "path"):
         at = np.append(at, t.num_rows) if at[-1] != t.num_rows else at
         keys = t["text_key"].to_pylist()
-        sig = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        sig = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint32).reshape(len(keys), -1)
         a, b = [], []
         for s, e in zip(at[:-1], at[1:], strict=True):
             if e - s == 2:
-                if np.count_nonzero(sig[s] == sig[s + 1]) >= least * COORDINATES:
+                if np.count_nonzero(sig[s] == sig[s + 1]) >= least * sig.shape[1]:
                     a.append(keys[s])
                     b.append(keys[s + 1])
                 continue
             g = sig[s:e]
-            like = (g[:, None, :] == g[None, :, :]).sum(2) >= least * COORDINATES
+            like = (g[:, None, :] == g[None, :, :]).sum(2) >= least * sig.shape[1]
             root = _roots(like)
             for i in np.flatnonzero(root != np.arange(e - s)):
                 a.append(keys[s + root[i]])
@@ -100,10 +110,10 @@ def _roots(like: np.ndarray) -> np.ndarray:
 
 def candidates(nodes: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Star edges (a, b) between texts that may match, from (text_key, signature)."""
-    runs = math.ceil(math.log(1 - recall) / math.log(1 - similarity**DEPTH))
-    next_path = F.expr(f"xxhash64(path, substring(signature, 4 * cast(pmod(path, {COORDINATES}) as int) + 1, 4))")
-    starts = F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit("run")) for r in range(runs)]))
-    rows = nodes.select("text_key", "signature", starts.alias("path")).select("text_key", next_path.alias("path"))
+    runs = run_count(similarity, recall)
+    next_path = lambda depth: F.expr(f"xxhash64(path, substring(signature, 4 * ({DEPTH} * run + {depth}) + 1, 4))").alias("path")
+    starts = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")
+    rows = nodes.select("text_key", "signature", starts).withColumn("path", F.xxhash64("run")).select("text_key", "run", next_path(0))
     leaves = edges = None
     for depth in range(1, DEPTH + 1):
         here = C.Table(rows, "paths") if depth > 1 else None
@@ -118,9 +128,8 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY, recall: float =
         if depth == DEPTH:
             edges = large.filter("root <> text_key").select(F.col("root").alias("a"), F.col("text_key").alias("b"))
             break
-        rows = large.select("path", "text_key").join(nodes, "text_key").select("text_key", next_path.alias("path"))
-    # 64 coordinates estimate a similarity to 0.05; three times that is left to the exact comparison.
-    least = similarity - 3 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
+        rows = large.select("path", "text_key", "run").join(nodes, "text_key").select("text_key", "run", next_path(depth))
+    least = floor(similarity, runs * DEPTH)
     signed = leaves.join(nodes, "text_key").select("path", "text_key", "signature")
     stars = signed.repartition("path").sortWithinPartitions("path", "text_key").mapInArrow(lambda bs: _stars(bs, least), "a binary, b binary")
     return stars if edges is None else stars.union(edges)
@@ -196,7 +205,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     documents of the same text, itself among them.
     """
     C.bounded_batches(docs)
-    rows = C.Table(signatures(docs, words), "signatures").df
+    rows = C.Table(signatures(docs, words, run_count(similarity, recall)), "signatures").df
     nodes = C.Table(rows.filter("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "texts").df
     signed = nodes.filter("signature is not null").select("text_key", "signature")
     found = C.components(candidates(signed, similarity, recall), "candidates")

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -60,6 +61,23 @@ def test_large_group_and_hot_shingle(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_recall_at_the_threshold_and_full_depth(spark, monkeypatch):
+    """1,000 pairs of 80 common shingles in 100, all split to the greatest depth."""
+    monkeypatch.setattr(N, "SMALL", 1)
+    rng, rows = random.Random(4), []
+    for i in range(1000):
+        w = [f"{i}w{rng.randrange(10**6)}" for _ in range(104)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:84]))]
+    nodes = C.Table(N.signatures(spark.createDataFrame(rows, "doc_id long, text string")), "test").df
+    assert N.candidates(nodes.select("text_key", "signature")).distinct().count() >= 980
+
+
+def test_floor_loses_next_to_nothing():
+    n = N.run_count() * N.DEPTH
+    least = math.ceil(N.floor(0.8, n) * n)
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least)) < 1e-5
+
+
 def test_odd_rows(odd_docs):
     got = sorted([tuple(r) for r in N.join(odd_docs).collect()], key=lambda r: (r[0] is not None, *[x or 0 for x in r]))
     by = defaultdict(list)
