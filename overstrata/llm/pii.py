@@ -5,8 +5,10 @@ takes it to another one: digits stay digits, separators stay in place, a valid c
 date. The permutation depends on key and format alone, so equal values get equal pseudonyms in all documents, and
 different ones stay different.
 
-Kinds: mail addresses (letters and digits of the part before the @), international phone numbers (all but the
-country code), IPv4 addresses, numbers of 13 to 19 digits (those that pass Luhn's check still do; others stay others),
+Kinds: mail addresses (letters and digits of the part before the @, in pieces; letters beyond a-z become any such
+letters), international phone numbers (all but the
+country code), IPv4 addresses, numbers of 13 to 19 digits (those that pass Luhn's check still do; others stay others;
+a card that passes beside a short number is taken alone where both together fail),
 ddd-dd-dddd numbers, dates as yyyy-mm-dd, dd/mm/yyyy and dd.mm.yyyy from 1800 to 2199, and hexadecimal keys of
 32 to 64 digits in quotes.
 
@@ -31,6 +33,7 @@ _MAIL = r"[\p{L}0-9][\p{L}0-9._%+-]*+@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)+"
 _PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
 _IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 _LONG = r"[0-9](?:[ -]?[0-9]){12,18}"
+_CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _HEX = r'(?<=")[0-9A-Fa-f]{32,64}(?=")'
 # One pass finds them all. Letters and digits before or after a number make it something else.
@@ -75,6 +78,27 @@ def _luhn(d: str) -> str:
     return f"aggregate(sequence(0, length({d}) - 1), 0, (t, j) -> t + {_let(digit, 'c', 'if(j % 2 = 0, c, if(c > 4, 2 * c - 9, 2 * c))')}) % 10"
 
 
+def _digits(x: str) -> str:
+    return f"regexp_replace({x}, '[^0-9]', '')"
+
+
+def _permute_letters(q: str, key: str) -> str:
+    """SQL for the permuted letters of a text of letters beyond a-z: twice over it, from both ends, each by what stands before it.
+
+    A letter's code is a pair in Z_512 x Z_512, permuted by keyed rounds until it is a small letter again.
+    """
+    letter = "decode(unhex(lpad(hex(if(x between 55296 and 57343, 0, x)), 8, '0')), 'UTF-32')"
+    ok = f"x > 127 and {_let(letter, 'y', f"y rlike {_text(r'^\p{L}$')} and lower(y) = y")}"
+    hashed = f"cast(conv(substr(sha2(concat_ws('|', {_text(key)}, 'letter', pass, length(q), p, i, if(i % 2 = 0, s.r, s.l)), 256), 1, 15), 16, 10) as bigint)"
+    step = "named_struct('l', if(i % 2 = 0, pmod(s.l + h, 512L), s.l), 'r', if(i % 2 = 0, s.r, pmod(s.r + h, 512L)))"
+    once = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', v.x div 512, 'r', v.x % 512), (s, i) -> {_let(hashed, 'h', step)}, s -> s.l * 512 + s.r)"
+    # About half of all codes are no letters; 128 misses in a row don't happen.
+    walk = f"aggregate(sequence(0, 127), named_struct('x', cast(ascii(substr(q, z, 1)) as bigint), 'ok', false), (v, w) -> if(v.ok, v, {_let(once, 'x', f"named_struct('x', x, 'ok', {ok})")}), v -> {_let('v.x', 'x', letter)})"
+    line = f"aggregate(sequence(1, length(q)), '', (p, z) -> concat(p, {walk}))"
+    both = f"aggregate(array('1', '2'), {q}, (q, pass) -> reverse({line}))"
+    return f"if({q} = '', '', {both})"
+
+
 _AZ, _26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 
 
@@ -96,33 +120,41 @@ def _pseudonym(m: str, key: str) -> str:
     day = "cast(datediff(cast(try_to_timestamp(w, k) as date), date'1800-01-01') as string)"
     octets = "array_join(transform(split(w, '[.]'), y -> lpad(hex(cast(y as bigint)), 2, '0')), '')"
     tweak = f"if({_luhn('g')} = 0, 'luhn', 'other')"
-    mail = f"concat(transform(sequence(0, 5), z -> {_chunk(_cat('letters'), 'substr(q, 12 * z + 1, 12)', 26)}), array({_chunk('k', 'substr(g, 1, 18)', 10)}))"
+    pieces = lambda x, n: f"cast(greatest(1, ceil(length({x}) / {n})) as int)"
+    mail = (
+        f"concat(transform(sequence(0, {pieces('q', 12)} - 1), z -> {_chunk(_cat('letters'), 'substr(q, 12 * z + 1, 12)', 26)}),"
+        f" transform(sequence(0, {pieces('g', 18)} - 1), z -> {_chunk("if(z = 0, k, concat(k, z))", 'substr(g, 18 * z + 1, 18)', 10)}))"
+    )
     chunks = (
         f"case when k = 'mail' then {mail} when k = 'phone' then array({_chunk('k', 'right(g, 10)', 10)}) when k = 'ssn' then array({_chunk('k', 'g', 10)})"
         f" when k = 'ip' then array({_chunk('k', octets, 16)}) when k = 'card' then array({_chunk(tweak, 'left(g, length(g) - 1)', 10)})"
         f" when k = 'hex' then transform(sequence(0, 3), z -> {_chunk(_cat('hex'), 'substr(lower(w), 16 * z + 1, 16)', 16)}) else array({_chunk(_text('date'), day, 0)}) end"
     )
-    letters = f"concat(translate(array_join(slice(o, 1, 6), ''), '{_26}', '{_AZ}'), substr(translate(q, '{_26}', '{_AZ}'), 73))"
+    letters = f"translate(array_join(slice(o, 1, {pieces('q', 12)}), ''), '{_26}', '{_AZ}')"
     # A card's last digit is as far from the right check digit as it was.
     right = lambda x: f"pmod(10 - {_luhn(x)}, 10)"
     before, after = "concat(left(g, length(g) - 1), '0')", "concat(o[0], '0')"
     last = f"cast(pmod({right(after)} + cast(right(g, 1) as int) - {right(before)}, 10) as string)"
-    digits = f"case k when 'mail' then concat(o[6], substr(g, 19)) when 'phone' then concat(left(g, length(g) - 10), o[0]) when 'card' then concat(o[0], {last}) else o[0] end"
+    digits = f"case k when 'mail' then array_join(slice(o, {pieces('q', 12)} + 1, {pieces('g', 18)}), '') when 'phone' then concat(left(g, length(g) - 10), o[0]) when 'card' then concat(o[0], {last}) else o[0] end"
     at = lambda c: f"length(regexp_replace(left(w, z), '[^{c}]', ''))"
-    char = f"case when k = 'mail' and c rlike '[a-z]' then substr(f.a, {at('a-z')}, 1) when c rlike '[0-9]' then substr(f.n, {at('0-9')}, 1) else c end"
+    beyond = lambda x: f"regexp_replace({x}, {_text(r'[a-z]|[^\p{L}]')}, '')"
+    char = f"case when k = 'mail' and c rlike '[a-z]' then substr(f.a, {at('a-z')}, 1) when c rlike '[0-9]' then substr(f.n, {at('0-9')}, 1) when k = 'mail' and c rlike {_text(r'\p{L}')} then substr(f.u, length({beyond('left(w, z)')}), 1) else c end"
     filled = f"array_join(transform(sequence(1, length(w)), z -> {_let('substr(w, z, 1)', 'c', char)}), '')"
-    filled = _let(f"named_struct('a', if(k = 'mail', {letters}, ''), 'n', {digits})", "f", filled)
+    filled = _let(f"named_struct('a', if(k = 'mail', {letters}, ''), 'n', {digits}, 'u', if(k = 'mail', {_let(beyond('w'), 'q', _permute_letters('q', key))}, ''))", "f", filled)
     quad = "array_join(transform(sequence(0, 3), z -> conv(substr(o[0], 2 * z + 1, 2), 16, 10)), '.')"
     moved = "if(o[0] is null, w, date_format(date_add(date'1800-01-01', cast(o[0] as int)), k))"
     body = (
-        f"case when k in ('mail', 'phone', 'ssn', 'card') then concat({filled}, if(k = 'mail', substr({m}, length(w) + 1), '')) when k = 'ip' then {quad}"
+        f"case when k in ('mail', 'phone', 'ssn', 'card') then concat(if(k = 'card', left({m}, instr({m}, w) - 1), ''), {filled}, case k when 'mail' then substr({m}, length(substring_index({m}, '@', 1)) + 1) when 'card' then substr({m}, instr({m}, w) + length(w)) else '' end) when k = 'ip' then {quad}"
         f" when k = 'hex' then if(w = upper(w), upper(array_join(o, '')), array_join(o, '')) else {moved} end"
     )
     known = "coalesce(y.radix > 0 or cast(y.d as bigint) between 0 and 146096, false)"  # dates out of range stay
     body = _let(f"transform({chunks}, y -> if({known}, {_permute('y', key)}, null))", "o", body)
     body = _let("regexp_replace(w, '[^0-9]', '')", "g", body)
     body = _let(f"if(k = 'mail', translate(regexp_replace(w, '[^a-z]', ''), '{_AZ}', '{_26}'), '')", "q", body)
-    body = _let(f"if(k = 'mail', lower(substring_index({m}, '@', 1)), {m})", "w", body)
+    # Of a number that fails, a card in it: digits in a row, or four times four.
+    cards = f"filter(regexp_extract_all({m}, {_text(_CARD)}, 0), x -> {_let(_digits('x'), 'y', _luhn('y') + ' = 0')})"
+    card = f"if({_let(_digits(m), 'y', _luhn('y') + ' = 0')}, {m}, coalesce(get({cards}, 0), {m}))"
+    body = _let(f"case k when 'mail' then lower(substring_index({m}, '@', 1)) when 'card' then {card} else {m} end", "w", body)
     return _let(kind, "k", body)
 
 

@@ -64,6 +64,31 @@ def test_pseudonyms(spark, odd_docs):
     assert same.schema == odd_docs.schema and same.exceptAll(odd_docs).count() == 0 and same.count() == odd_docs.count()
 
 
+def test_whole_mail_names(spark):
+    """Long names, digits from the 19th on, and letters beyond a-z are permuted too; different names stay different."""
+    long = "abcdefghij" * 9
+    names = [long + "xyz", long + "xyy", "n" + "1" * 30, "n" + "1" * 29 + "2", "иван.петров", "иван.петроы", "ИВАН.петров", "josé7", "josà7", "γιώργος", "李", "𠀀a", "ann"]
+    df = spark.createDataFrame([(f"to {n}@mail.example.com!",) for n in names], "text string")
+    out = [r.text for r in pii.pseudonymise(df, "k").collect()]
+    new = [re.fullmatch(r"to (.*)@mail\.example\.com!", t)[1] for t in out]
+    assert new[4] == new[6] and len(set(new)) == len(new) - 1
+    for a, b in zip(names, new):
+        assert len(a) == len(b) and [c if c in "." else "d" if c.isdecimal() else "a" if c.isascii() else "l" for c in a] == [c if c in "." else "d" if c.isdecimal() else "a" if c.isascii() else "l" for c in b]
+        assert all(c.isalpha() or c.isdecimal() or c == "." for c in b)
+    assert new[0][72:] != names[0][72:] and new[2][19:] != names[2][19:]
+    for a, b in ((names[i], new[i]) for i in (4, 7, 9, 10, 11)):
+        assert not {c for c in a if not c.isascii()} & set(b)
+
+
+def test_card_beside_a_short_number(spark):
+    texts = ["4111111111111111", "4111111111111111 25", "12 4111111111111111", "4111 1111 1111 1111 25", "4111111111111112 25"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    card, a, b, c, other = [r.text for r in pii.pseudonymise(df, "k").collect()]
+    assert card != texts[0] and luhn(card)
+    assert a == card + " 25" and b == "12 " + card and c.replace(" ", "") == card + "25"
+    assert other[:16] != texts[4][:16] and len(other) == 19
+
+
 def test_feistel_is_a_permutation(spark):
     def images(df, radix):
         x = f"named_struct('t', 't', 'd', d, 'radix', {radix})"
