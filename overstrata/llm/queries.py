@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, chat, decontaminate, ngram_join, packing, pii, suffix_dedup, toxicity, urlfilter, warc
 
-#: The key of the pseudonyms of query op6 and of the pipeline. A deployment passes its own.
+#: The key of the pseudonyms of query op6 and of the pipeline, where the session's ``overstrata.pii.key`` is unset.
 PII_KEY = "overstrata demonstration key"
 #: Fixed rules of query op2: host, path, verdict.
 URL_RULES = [
@@ -43,7 +43,8 @@ def op5_perspective_rotation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.pseudonymise(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), PII_KEY)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return pii.pseudonymise(docs, pii.secret(docs, spark.conf.get("overstrata.pii.key", PII_KEY)))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
