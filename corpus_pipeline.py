@@ -32,7 +32,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses become pseudonyms; n_chars follows the text."""
-    out = pii.pseudonymise(docs, PII_KEY)
+    out = pii.pseudonymise(docs, pii.secret(docs, spark.conf.get("overstrata.pii.key", PII_KEY)))
     return out.withColumn("n_chars", pii.length_of("text", "n_chars")) if "n_chars" in docs.columns else out
 
 
