@@ -24,16 +24,18 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM w
     """,
     "op5_perspective_rotation": r"""
-        WITH c AS (SELECT conv_id, coalesce(floor(turn / 64)::BIGINT, -1) AS part, turn, role, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+        WITH c AS (SELECT conv_id, coalesce(floor(turn / 64)::BIGINT, -1) AS part, turn, role, replace(coalesce(text, ''), '<|', '< |') AS body,
+            CASE WHEN role = 'system' THEN 'system' WHEN role IS NULL THEN 'user' ELSE 'user name=' || translate(replace(role, '<|', '< |'), chr(13) || chr(10), '  ') END AS name FROM conversations),
+        q AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role NULLS FIRST, body) - 1) // 64 AS piece FROM c),
         p AS (SELECT DISTINCT conv_id, role AS participant FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
-        s AS (SELECT c.conv_id, participant, part, row_number() OVER (PARTITION BY c.conv_id, participant, part ORDER BY turn NULLS FIRST, role NULLS FIRST, body) AS n,
+        s AS (SELECT q.conv_id, participant, part, piece, row_number() OVER (PARTITION BY q.conv_id, participant, part, piece ORDER BY turn NULLS FIRST, role NULLS FIRST, body) AS n,
             coalesce(role = participant, false) AS own, body || '<|im_end|>' AS body,
-            '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system' WHEN role IS NULL THEN 'user' ELSE 'user name=' || role END || chr(10) AS head
-            FROM c JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id),
-        o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, part ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS s FROM s),
-        r AS (SELECT conv_id, participant, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY n) AS rendered,
+            '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' ELSE name END || chr(10) AS head
+            FROM q JOIN p ON q.conv_id IS NOT DISTINCT FROM p.conv_id),
+        o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, part, piece ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS s FROM s),
+        r AS (SELECT conv_id, participant, part, piece, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY n) AS rendered,
             coalesce(string_agg(s || ':' || (s + length(body)), ' ' ORDER BY n) FILTER (WHERE own), '') AS mask FROM o GROUP BY ALL)
-        SELECT conv_id, participant, part, n_turns, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, participant ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char,
+        SELECT conv_id, participant, part, piece, n_turns, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, participant ORDER BY part, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char,
             rendered, mask FROM r
     """,
 }

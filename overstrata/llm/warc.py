@@ -9,8 +9,8 @@ lie in the shared folder under names that no other attempt of a task uses; the t
 attempts that counted, so repeated tasks and lost executors do no harm.
 
 Defined cases: a null html is an empty payload; a null page_id is less than any other; of repeated rows the last
-of the last file is the response; line ends in a url are written as blanks; an empty table makes no archive and
-gives no rows; other columns are not read.
+of the last file is the response; line ends in a url are written as blanks; a record is held whole, however long, and
+its archive is inflated in chunks; an empty table makes no archive and gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -108,12 +108,12 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, read once in chunks."""
+    """The bytes of a gzip file of one or more members, read once, at most ``CHUNK`` at a time whatever it expands to."""
     d = zlib.decompressobj(47)
     while data := stream.read(CHUNK):
         while data:
-            yield d.decompress(data)
-            data = d.unused_data
+            yield d.decompress(data, CHUNK)
+            data = d.unused_data if d.eof else d.unconsumed_tail
             if d.eof:
                 d = zlib.decompressobj(47)
     yield d.flush()
@@ -152,8 +152,11 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
         at += head + n + 4
 
 
-def normalise(plan: DataFrame, source: str, folder: str) -> DataFrame:
-    """(archive, index) of each rewritten archive. plan: (file, number, refers); number is null on one row of each file, else the record repeats ``refers``."""
+def normalise(plan: DataFrame, source: str, folder: str, files: int) -> DataFrame:
+    """(archive) of each rewritten archive. plan: (file, number, refers); number is null on one row of each file, else the record repeats ``refers``.
+
+    There are as many tasks as ``files``: rows of the plan are few and small, their archives are not.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
@@ -183,7 +186,7 @@ def normalise(plan: DataFrame, source: str, folder: str) -> DataFrame:
             yield _rows(rows, ["archive"], [pa.string()])
 
     keyed = plan.withColumn("file_key", F.xxhash64("file"))
-    return keyed.repartition("file_key").sortWithinPartitions("file_key", "number").mapInArrow(run, "archive string")
+    return keyed.repartition(max(1, files), "file_key").sortWithinPartitions("file_key", "number").mapInArrow(run, "archive string")
 
 
 def read(archives: DataFrame, folder: str) -> DataFrame:
@@ -232,8 +235,8 @@ def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0, folder: st
     keepers = C.Table(keepers, "keepers").df
     repeats = listing.join(keepers, "digest").filter("not (file = keeper.file and number = keeper.number)")
     refers = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("keeper.page_id").cast("string"), F.lit("null")), F.lit(":"), F.col("keeper.file"), F.lit(":"), F.col("keeper.number"), F.lit(">"))
-    files = listing.select("file").distinct().select("file", F.lit(None).cast("long").alias("number"), F.lit(None).cast("string").alias("refers"))
-    plan = repeats.select("file", "number", refers.alias("refers")).union(files)
-    archives = C.Table(normalise(plan, f"{folder}/raw", f"{folder}/archives"), "archives").df
+    files = C.Table(listing.select("file").distinct(), "files").df
+    plan = repeats.select("file", "number", refers.alias("refers")).union(files.select("file", F.lit(None).cast("long"), F.lit(None).cast("string")))
+    archives = C.Table(normalise(plan, f"{folder}/raw", f"{folder}/archives", files.count()), "archives").df
     C.delete(spark, f"{folder}/raw")
     return read(archives, f"{folder}/archives")

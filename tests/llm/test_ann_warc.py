@@ -85,5 +85,10 @@ def test_streams_in_pieces():
 
         got = list(warc.records(warc.inflate(Slow())))
         assert len(got) == 40 and b"".join(w for _, _, w in got) == raw
+    bomb = zlib.compressobj(9, wbits=31)
+    data = bomb.compress(bytes(50 << 20)) + bomb.flush()
+    Slow.at = 0
+    sizes = [len(x) for x in warc.inflate(Slow())]
+    assert sum(sizes) == 50 << 20 and max(sizes) <= warc.CHUNK
     with pytest.raises(ValueError, match="ends within"):
         list(warc.records(iter([raw[:-10]])))
