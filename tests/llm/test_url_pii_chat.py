@@ -24,9 +24,9 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("literal", [1 << 12, 0])
-def test_urls(spark, monkeypatch, literal):
-    monkeypatch.setattr(urlfilter, "LITERAL_BLOCKS", literal)
+@pytest.mark.parametrize("blocks", [1 << 20, 1])
+def test_urls(spark, monkeypatch, blocks):
+    monkeypatch.setattr(urlfilter, "MOST_BLOCKS", blocks)
     pages = spark.createDataFrame([(p, u, "h", "k") for p, u, *_ in URLS], "page_id long, url string, host string, key string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = sorted(map(str, [(r.page_id, r.url, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()]))
@@ -36,7 +36,12 @@ def test_urls(spark, monkeypatch, literal):
 
 
 def test_many_rules(spark):
+    """The filter passes all listed keys and few others; pages without a hit meet no exchange."""
     rules = spark.createDataFrame([(f"h{i}.com", f"/p{i}", "block") for i in range(3000)], "host string, path string, verdict string")
+    keys = rules.selectExpr("concat(host, '\\n', path) as key")
+    seen = spark.range(20_000).selectExpr("concat('h', id, '.com\\n/p', id) as key", "id").withColumn("words", urlfilter.bloom(keys, 512))
+    seen = {r.id for r in seen.filter(f"(words[{urlfilter._block('key', 512)}] & {urlfilter._bits('key')}) = {urlfilter._bits('key')}").collect()}
+    assert seen >= set(range(3000)) and len(seen) < 3000 + 0.1 * 17_000
     pages = spark.createDataFrame([(i, f"http://www.h{i}.com/p{i if i % 2 else 'x'}/z") for i in range(6000)], "page_id long, url string")
     got = {r.page_id for r in urlfilter.judge(pages, rules).filter("verdict = 'block'").collect()}
     assert got == {i for i in range(3000) if i % 2}
