@@ -15,9 +15,19 @@ from ..operators.tables import Table, delete, keep_until_exit, shared_dir  # noq
 STEP_BYTES = 1 << 20
 #: Rows that Spark hands to a Python worker at once.
 BATCH_ROWS = 2000
+#: Bytes up to which a written table may be broadcast, as rows times the bytes of one, some 64 more a row in the hash table.
+BROADCAST_BYTES = 64 << 20
 #: Rows up to which a table of a few numbers per row may be broadcast (about 16 bytes a row).
 BROADCAST_ROWS = 1_000_000
 
+
+def small(table: DataFrame, width: int) -> DataFrame:
+    """A written table of some bytes a row, marked for a broadcast if it is small; its rows are counted first."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(table) if table.count() * (width + 64) <= BROADCAST_BYTES else table
+
+
 def bounded_batches(df: DataFrame) -> None:
     """Let the session's Arrow batches hold no more than ``BATCH_ROWS`` rows: texts are long, and two workers share an executor."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,18 +1,26 @@
 """Benchmark decontamination by greedy string tiling.
 
-Shared runs of words are seeds: they join documents with benchmark items. For each pair the running Karp-Rabin
-tiling marks the longest matches that overlap no tile yet, again and again with shorter lengths, down to
-``min_match`` words. The words of the item under tiles, as a share of all its words, are its coverage; passages in
-another order still tile, so they count in full.
-
-Words are runs of letters and digits, with A-Z folded. Defined cases: null or empty texts and items of fewer than
-``min_match`` words match nothing, except that an item of fewer words must stand as a whole; repeated items and
-repeated documents each count; other columns are not read.
+Shared runs of words are seeds: a table of the items' seeds is joined with those of the documents. A pair goes on if it
+shares enough of them to be covered at all: tiles of ``min_match`` words or more that cover a share of an item hold at
+least that share divided by ``min_match`` of its seeds, so nothing is lost. Of each pair, the running Karp-Rabin tiling
+marks the longest match of unmarked words again and again, down to ``min_match`` words; of equally long ones that
+which begins first in the item, then first in the text. The words of the item under tiles, as a share of all its words, are
+its coverage; passages in another order still tile, so they count in full.
+
+Benchmark and documents meet in joins only. A filter of ``FILTER_BITS`` bits of the seeds, whose size doesn't depend on the
+benchmark, is sent to all tasks, so that few of the documents' seeds are shuffled. Texts go by two 64-bit hashes, equal
+ones once; a document goes if its text does.
+
+Words are runs of letters and digits, with A-Z folded, and equal if their 64-bit hashes are. Defined cases: null or empty texts and
+items without words match nothing; an item of fewer than ``min_match`` words must stand as a whole; repeated items
+and repeated documents each count; very long and repetitive texts take a number of passes over their words that
+the item's length bounds; empty tables give no rows, or leave all documents; other columns are not read, and stay.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,110 +32,103 @@ from . import common as C
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-#: Bytes of benchmark text that are sent to every executor at once; a larger benchmark is taken in several passes.
-BLOCK_BYTES = 32 << 20
-
-
-def tile(a: np.ndarray, b: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in a, start in b, length) of two arrays of word hashes.
-
-    The search length halves from the longest run until it reaches ``min_match``. At each length the rolling hashes
-    of unmarked windows of ``b`` are looked up among those of ``a``; hits are extended word by word, so equal hashes
-    are never trusted, and are marked longest first.
+#: Bits of the filter of seeds, 2 MB.
+FILTER_BITS = 1 << 24
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+class Rolling:
+    """Karp-Rabin hashes of all windows of any length of an array: from sums that run over it once."""
+
+    def __init__(self, x: np.ndarray):
+        if len(_powers[0]) < len(x) + 1:
+            for k, p in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+                a = np.full(2 * len(x) + 1, p, np.uint64)
+                a[0] = 1
+                _powers[k] = np.cumprod(a, dtype=np.uint64)
+        self.sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(C.mix64(x) * _powers[0][: len(x)], out=self.sums[1:])
+
+    def windows(self, n: int, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the windows of n words that are all free."""
+        if len(free) < n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        taken = np.concatenate([[0], np.cumsum(~free)])
+        at = np.flatnonzero(taken[n:] == taken[:-n])
+        return at, (self.sums[at + n] - self.sums[at]) * _powers[1][at]
+
+
+def tile(text: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+    """Greedy tiles (start in text, start in item, length) of two arrays of word hashes.
+
+    If words of length n match, so do some of length n - 1: the longest length is searched by halving, and all matches of
+    that length are marked, before the next, smaller one.
     """
-    free_a, free_b, tiles = np.ones(len(a), bool), np.ones(len(b), bool), []
-    length = min(len(a), len(b), max(min_match, 64))
-    while length >= min_match:
-        longest, found = 0, []
-        table = defaultdict(list)
-        for h, i in _windows(a, free_a, length):
-            table[h].append(i)
-        done: set[tuple[int, int]] = set()
-        for h, j in _windows(b, free_b, length):
-            for i in table.get(h, ()):
-                if (i - 1, j - 1) in done:  # inside a match that began one word earlier
-                    done.add((i, j))
-                    continue
-                k = 0
-                while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
-                    k += 1
-                if k >= length:
-                    done.add((i, j))
-                    found.append((k, i, j))
-                    longest = max(longest, k)
-        if longest > 2 * length:  # far longer matches exist: look for those first
-            length = longest
-            continue
-        for k, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            while k >= length:  # an earlier tile may have taken part of it
-                busy = np.flatnonzero(~(free_a[i : i + k] & free_b[j : j + k]))
-                if not len(busy):
-                    free_a[i : i + k] = free_b[j : j + k] = False
-                    tiles.append((i, j, k))
-                    break
-                cut = int(busy[0])
-                if cut >= length:
-                    k = cut
-                else:
-                    i, j, k = i + cut + 1, j + cut + 1, k - cut - 1
-        length = length // 2 if length // 2 > min_match else min_match if length > min_match else 0
+    free_t, free_i, tiles = np.ones(len(text), bool), np.ones(len(item), bool), []
+    roll_t, roll_i = Rolling(text), Rolling(item)
+
+    def shared(n: int) -> bool:
+        return np.isin(roll_t.windows(n, free_t)[1], roll_i.windows(n, free_i)[1]).any()
+
+    most = min(len(text), len(item))
+    while most >= min_match and shared(min_match):
+        low, high = min_match, most + 1  # low matches, high doesn't
+        step = min_match
+        while low + step < high:  # from below: most matches are short
+            if not shared(low + step):
+                high = low + step
+                break
+            low, step = low + step, 2 * step
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if shared(middle) else (low, middle)
+        most = low
+        at_t, hash_t = roll_t.windows(most, free_t)
+        at_i, hash_i = roll_i.windows(most, free_i)
+        known = np.isin(hash_i, hash_t)
+        order = np.argsort(hash_t, kind="stable")
+        places, hash_t = at_t[order], hash_t[order]
+        at_i, hash_i = at_i[known], hash_i[known]
+        first = np.searchsorted(hash_t, hash_i)
+        last = np.searchsorted(hash_t, hash_i, "right")
+        following: dict[int, int] = {}  # of a hash: the places before it are taken
+        for j, lo, hi in zip(at_i.tolist(), first.tolist(), last.tolist(), strict=True):
+            if not free_i[j : j + most].all():
+                continue
+            at = following.get(lo, lo)
+            # In steps, as a run of equal words has many places that one tile takes.
+            while at < hi and not free_t[places[at] : places[at] + most].all():
+                busy = places[at] + np.flatnonzero(~free_t[places[at] : places[at] + most])[-1]
+                at += max(1, int(np.searchsorted(places[at:hi], busy, "right")))
+            following[lo] = at
+            if at < hi:
+                free_t[places[at] : places[at] + most] = free_i[j : j + most] = False
+                tiles.append((int(places[at]), j, most))
+        most -= 1
     return tiles
 
 
-def _windows(x: np.ndarray, free: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-    """(Karp-Rabin hash, start) of windows of n unmarked words."""
-    if len(x) < n:
-        return
-    base, h = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(x) - n + 1, np.uint64)
-    for k in range(n):
-        h = h * base + x[k : k + len(h)]
-    taken = np.concatenate([[0], np.cumsum(~free)])
-    for i in np.flatnonzero(taken[n:] == taken[:-n]):
-        yield int(h[i]), int(i)
-
+def cover(text: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """Tiles of an item in a text. Words of the text that the item lacks part it into runs; only those are tiled."""
+    own = np.isin(text, item)
+    least = min(min_match, len(item))
+    pos = np.flatnonzero(own)
+    if not len(pos):
+        return []
+    # Runs shorter than a tile can't hold one. A word that isn't the item's stands between the others.
+    cut = np.flatnonzero(np.diff(pos) > 1) + 1
+    parts = [text[r[0] : r[-1] + 1] for r in np.split(pos, cut) if len(r) >= least]
+    if not parts:
+        return []
+    other = np.uint64(0)
+    while other in item:
+        other += np.uint64(1)
+    joined = np.concatenate([x for p in parts for x in (p, np.full(1, other))])
+    return tile(joined, item, least)
 
-class Benchmark:
-    """Items as word hashes, with the sorted hashes of their seeds."""
 
-    def __init__(self, ids: list, texts: list[str], min_match: int):
-        self.ids, self.items, seeds, owner = ids, [], [], []
-        for _, _, data, offsets in C.steps(pa.array(texts, pa.string())):
-            w = C.Words(data, offsets, C.FOLDED_WORDS)
-            base = len(self.items)
-            self.items += [w.hash[w.first[d] : w.first[d + 1]].copy() for d in range(len(offsets) - 1)]
-            s, d = C.shingles(w, min_match)
-            seeds.append(s)
-            owner.append(d + base)
-        seeds, owner = np.concatenate(seeds or [np.zeros(0, np.uint64)]), np.concatenate(owner or [np.zeros(0, int)])
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner = seeds[order], owner[order]
-        self.least = min_match
-        self.small = sorted({len(x) for x in self.items if 0 < len(x) < min_match})
-
-    def hits(self, w: C.Words) -> Iterator[tuple[int, int]]:
-        """(text, item) of each pair that shares a seed."""
-        pairs = set()
-        s, d = C.shingles(w, self.least)
-        for k in [self.least, *self.small]:
-            if k != self.least:  # items shorter than a seed stand as a whole
-                s, d = _whole(w, k)
-            # A filter of 2**20 bits first: most words of a corpus are in no item.
-            keep = np.flatnonzero(self._maybe(s))
-            s2, d2 = s[keep], d[keep]
-            lo, hi = np.searchsorted(self.seeds, s2, "left"), np.searchsorted(self.seeds, s2, "right")
-            for i in np.flatnonzero(hi > lo):
-                pairs.update((int(d2[i]), int(o)) for o in self.owner[lo[i] : hi[i]])
-        yield from sorted(pairs)
-
-    def _maybe(self, s: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "bits"):
-            self.bits = np.zeros(1 << 20, bool)
-            self.bits[self.seeds >> np.uint64(44)] = True
-        return self.bits[s >> np.uint64(44)]
-
-
-def _whole(w: C.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of runs of k words, made as ``shingles`` makes those of a text of k words."""
+def _runs(w: C.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     h, doc = w.hash, np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     m = max(0, len(h) - k + 1)
     s = np.full(m, k, np.uint64)
@@ -137,83 +138,125 @@ def _whole(w: C.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return C.mix64(s[own]), doc[:m][own]
 
 
-def _blocks(benchmark: DataFrame, min_match: int) -> Iterator[Benchmark]:
-    """The benchmark in blocks of bounded size."""
-    ids, texts, size = [], [], 0
-    for r in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
-        ids.append(r.item_id)
-        texts.append(r.text)
-        size += len(r.text)
-        if size >= BLOCK_BYTES:
-            yield Benchmark(ids, texts, min_match)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield Benchmark(ids, texts, min_match)
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
-    """(doc_id, item_id, coverage, n_tiles, matched_words, longest) of each document and item tiled to ``coverage`` or more."""
-    C.bounded_batches(docs)
-    out = None
-    for block in _blocks(benchmark, min_match):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        part = docs.select("doc_id", "text").mapInArrow(lambda bs, s=shared: _tiles(bs, s.value, coverage, min_match), SCHEMA)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+_ITEM = pa.schema([("ix", pa.int64()), ("iy", pa.int64()), ("n", pa.int32()), ("words", pa.binary())])
 
 
-SCHEMA = "doc_id long, item_id long, coverage double, n_tiles int, matched_words int, longest int"
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's words; those without a word are none."""
+    for batch in batches:
+        rows, x, y = [], batch.column("x").to_pylist(), batch.column("y").to_pylist()
+        for at, _, data, offsets in C.steps(batch.column("text")):
+            w = C.Words(data, offsets, C.FOLDED_WORDS)
+            for d in np.flatnonzero(np.diff(w.first)).tolist():
+                own = w.hash[w.first[d] : w.first[d + 1]]
+                rows.append((x[at + d], y[at + d], len(own), own.tobytes()))
+        yield _table(rows, _ITEM)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], block: Benchmark, coverage: float, min_match: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "item_id", "coverage", "n_tiles", "matched_words", "longest"]
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+def _item_seeds(batches: Iterator[pa.RecordBatch], min_match: int) -> Iterator[pa.RecordBatch]:
+    """Each item's seeds and how often it has them; an item shorter than a seed is one as a whole."""
+    schema = pa.schema([("seed", pa.int64()), ("ix", pa.int64()), ("iy", pa.int64()), ("n", pa.int32()), ("times", pa.int64())])
     for batch in batches:
-        rows, ids = [], batch.column("doc_id").to_pylist()
+        rows = []
+        for x, y, n, words in zip(*(batch.column(c).to_pylist() for c in ("ix", "iy", "n", "words")), strict=True):
+            w = C.Words.__new__(C.Words)
+            w.hash, w.first = np.frombuffer(words, np.uint64), np.array([0, n])
+            found, times = np.unique(_runs(w, min(min_match, n))[0], return_counts=True)
+            rows += [(s, x, y, n, t) for s, t in zip(found.view(np.int64).tolist(), times.tolist(), strict=True)]
+        yield _table(rows, schema)
+
+
+def _hits(batches: Iterator[pa.RecordBatch], bits: np.ndarray, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """Of each text the different seeds that the filter passes."""
+    shift = np.uint64(64 - int(math.log2(FILTER_BITS)))
+    for batch in batches:
+        x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
         for at, _, data, offsets in C.steps(batch.column("text")):
             w = C.Words(data, offsets, C.FOLDED_WORDS)
-            for d, o in block.hits(w):
-                item, text = block.items[o], w.hash[w.first[d] : w.first[d + 1]]
-                got = cover(text, item, min_match)
-                if len(item) and got and sum(k for _, _, k in got) >= coverage * len(item):
-                    n = sum(k for _, _, k in got)
-                    rows.append((ids[at + d], block.ids[o], n / len(item), len(got), n, max(k for _, _, k in got)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names=names)
+            s, d = (np.concatenate(v) for v in zip(*(_runs(w, k) for k in sizes), strict=True))
+            high = s >> shift
+            keep = np.flatnonzero(bits[high >> np.uint64(3)] >> (high & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+            s, d = s[keep], d[keep]
+            order = np.lexsort((s, d))
+            s, d = s[order], d[order]
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+            s, d = s[new], d[new]
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(x[at + d]), pa.array(y[at + d])], names=["seed", "x", "y"])
 
 
-def cover(text: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Tiles of an item in a text. Words of the text that the item lacks part it into runs; only those are tiled."""
-    own = np.isin(text, item)
-    least = min(min_match, len(item))
-    pos = np.flatnonzero(own)
-    if not len(pos):
-        return []
-    # Runs shorter than a tile can't hold one. A word that isn't the item's stands between the others.
-    cut = np.flatnonzero(np.diff(pos) > 1) + 1
-    parts = [text[r[0] : r[-1] + 1] for r in np.split(pos, cut) if len(r) >= least]
-    if not parts:
-        return []
-    joined = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.uint64))])
-    return tile(joined, item, least)
+_TILED = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("ix", pa.int64()), ("iy", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("matched_words", pa.int32()), ("longest", pa.int32())])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
-    """docs without those that hold a benchmark item; decided row by row, so nothing is shuffled."""
+def _tiles(batches: Iterator[pa.RecordBatch], coverage: float, min_match: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, known = [], (None, None)
+        keys = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "ix", "iy")), strict=True)
+        for (x, y, ix, iy), text, words in zip(keys, batch.column("text"), batch.column("words"), strict=True):
+            if known[0] != (x, y):
+                ((_, _, data, offsets),) = C.steps(pa.array([text.as_py()], pa.string()), 1 << 62)
+                known = (x, y), C.Words(data, offsets, C.FOLDED_WORDS).hash
+            item = np.frombuffer(words.as_py(), np.uint64)
+            got = cover(known[1], item, min_match)
+            n = sum(k for _, _, k in got)
+            if got and n >= coverage * len(item):
+                rows.append((x, y, ix, iy, n / len(item), len(got), n, max(k for _, _, k in got)))
+        yield _table(rows, _TILED)
+
+
+def _spark(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
+
+def keyed(docs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """docs with two hashes of the text, by which equal texts are one."""
+    return docs.withColumns({x: F.xxhash64("text"), y: F.xxhash64(F.lit("second"), "text")})
+
+
+def covered(docs: DataFrame, benchmark: DataFrame, coverage: float, min_match: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (x, y, ix, iy, coverage, ...) of texts and items tiled to ``coverage``, and (item_id, ix, iy) of the items."""
     C.bounded_batches(docs)
-    out = docs
-    for block in _blocks(benchmark, min_match):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], s=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for at, _, data, offsets in C.steps(batch.column("text")):
-                    w = C.Words(data, offsets, C.FOLDED_WORDS)
-                    for d, o in s.value.hits(w):
-                        item = s.value.items[o]
-                        if keep[at + d] and sum(k for _, _, k in cover(w.hash[w.first[d] : w.first[d + 1]], item, min_match)) >= coverage * len(item):
-                            keep[at + d] = False
-                yield batch.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    named = keyed(benchmark.filter("text is not null").select("item_id", "text"), "ix", "iy")
+    items = named.groupBy("ix", "iy").agg(F.first("text").alias("text")).select(F.col("ix").alias("x"), F.col("iy").alias("y"), "text")
+    items = C.Table(items.mapInArrow(_items, _spark(_ITEM)), "items").df
+    seeds = C.Table(items.mapInArrow(lambda bs: _item_seeds(bs, min_match), "seed long, ix long, iy long, n int, times long"), "seeds").df
+    # The filter: at most FILTER_BITS / 64 words, and one number for each length of short items.
+    place = F.shiftrightunsigned("seed", 64 - int(math.log2(FILTER_BITS)))
+    words = seeds.select((place / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - int(math.log2(FILTER_BITS))}) & 63 as int))").alias("bit"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        bits[r["at"]] = r["bits"]
+    sizes = sorted({min_match, *(r.n for r in items.filter(F.col("n") < min_match).select("n").distinct().collect())})
+    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))  # 2 MB
+    texts = keyed(docs.select("text").filter("text is not null"))
+    hits = texts.mapInArrow(lambda bs: _hits(bs, shared.value, sizes), "seed long, x long, y long")
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * coverage / min_match - 1e-9))
+    # Equal texts send equal rows: they are counted once.
+    pairs = hits.distinct().join(C.small(seeds, 36), "seed").groupBy("x", "y", "ix", "iy", "n").agg(F.sum("times").alias("times"))
+    pairs = C.Table(pairs.filter(F.when(F.col("n") < min_match, F.col("times") > 0).otherwise(F.col("times") >= need)).select("x", "y", "ix", "iy"), "pairs").df
+    wanted = C.Table(pairs.select("x", "y").distinct(), "wanted").df
+    found = texts.join(C.small(wanted, 16), ["x", "y"], "left_semi").groupBy("x", "y").agg(F.first("text").alias("text"))
+    both = found.join(pairs, ["x", "y"]).join(items.drop("n"), ["ix", "iy"]).select("x", "y", "ix", "iy", "text", "words")
+    tiled = C.Table(both.mapInArrow(lambda bs: _tiles(bs, coverage, min_match), _spark(_TILED)), "tiles").df
+    return tiled, named.select("item_id", "ix", "iy")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
+    """(doc_id, item_id, coverage, n_tiles, matched_words, longest) of each document and item tiled to ``coverage`` or more."""
+    tiled, items = covered(docs, benchmark, coverage, min_match)
+    ids = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
+    out = ids.join(tiled.join(items, ["ix", "iy"]), ["x", "y"])
+    return out.select("doc_id", F.col("item_id").cast("long").alias("item_id"), "coverage", "n_tiles", "matched_words", "longest")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
+    """docs without those that hold a benchmark item; all columns and all other rows stay as they are."""
+    tiled, _ = covered(docs, benchmark, coverage, min_match)
+    x, y = f"x_{uuid.uuid4().hex[:12]}", f"y_{uuid.uuid4().hex[:12]}"
+    gone = C.Table(tiled.select(F.col("x").alias(x), F.col("y").alias(y)).distinct(), "gone").df
+    return keyed(docs, x, y).join(C.small(gone, 16), [x, y], "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -8,6 +9,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from overstrata.llm import common as C
 from overstrata.llm import decontaminate, packing, suffix_dedup, toxicity
 
@@ -216,34 +219,74 @@ def test_tiling():
     assert decontaminate.tile(words(long), words(long)) == [(0, 0, 300)]
 
 
-def greedy(a, b, least):
-    """Greedy string tiling by all pairs."""
-    ua, ub, n = [0] * len(a), [0] * len(b), 0
+def greedy(text, item, least):
+    """Greedy string tiling by all pairs of equal words: the longest, first in the item, then first in the text."""
+    free_t, free_i, tiles = [True] * len(text), [True] * len(item), []
+    where = {}
+    for i, x in enumerate(text):
+        where.setdefault(x, []).append(i)
     while True:
         best = (0, 0, 0)
-        for i in range(len(a)):
-            for j in range(len(b)):
+        for j in range(len(item)):
+            for i in where.get(item[j], ()):
                 k = 0
-                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not ua[i + k] and not ub[j + k]:
+                while i + k < len(text) and j + k < len(item) and text[i + k] == item[j + k] and free_t[i + k] and free_i[j + k]:
                     k += 1
                 if k > best[0]:
                     best = (k, i, j)
         k, i, j = best
         if k < least:
-            return n
-        n += k
-        ua[i : i + k], ub[j : j + k] = [1] * k, [1] * k
+            return tiles
+        tiles.append((i, j, k))
+        free_t[i : i + k], free_i[j : j + k] = [False] * k, [False] * k
 
 
-def test_tiling_covers_as_plain_greedy_does():
+def test_tiling_is_plain_greedy():
     rng = random.Random(8)
-    for _ in range(60):
-        a = np.array([rng.randrange(6) for _ in range(rng.randrange(40))], np.uint64)
-        b = np.array([rng.randrange(6) for _ in range(rng.randrange(30))], np.uint64)
-        got = sum(k for *_, k in decontaminate.tile(a, b, 3))
-        assert abs(got - greedy(list(a), list(b), 3)) <= 3  # ties may tile otherwise
-        used = [p for i, j, k in decontaminate.tile(a, b, 3) for p in range(j, j + k)]
-        assert len(used) == len(set(used))
+    for n in range(300):
+        a = np.array([rng.randrange(2 + n % 6) for _ in range(rng.randrange(50))], np.uint64)
+        b = np.array([rng.randrange(2 + n % 6) for _ in range(rng.randrange(30))], np.uint64)
+        assert decontaminate.tile(a, b, 3) == greedy(a.tolist(), b.tolist(), 3)
+
+
+def test_tiling_of_repetitive_texts_takes_seconds():
+    import time
+
+    begin = time.time()
+    one = lambda n: np.full(n, 7, np.uint64)
+    assert decontaminate.tile(one(200_000), one(1000)) == [(0, 0, 1000)]
+    a = np.tile(np.array([1, 2, 3, 1, 2, 4], np.uint64), 30_000)
+    b = np.concatenate([np.append(np.resize(np.array([1, 2, 3, 1, 2, 4], np.uint64), n), 9) for n in range(5, 45)]).astype(np.uint64)
+    assert sum(k for *_, k in decontaminate.tile(a, b)) == sum(range(5, 45))
+    assert time.time() - begin < 20
+
+
+def test_matches_against_brute_force(spark):
+    """Every document of a test table against every item, without seeds, filters or hashes."""
+    import re
+
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    split = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = {r.item_id: split(r.text) for r in bench.collect()}
+    # the longest shared passages in other orders, and halves of items on both sides of the bound
+    more = []
+    for n, (i, x) in enumerate(sorted(items.items())):
+        for share in (0.4, 0.5, 0.6):
+            k = math.ceil(share * len(x))
+            more.append((10_000 + 10 * n + int(10 * share), " ".join(["pre", *x[len(x) - k // 2 :], "mid", *x[: k - k // 2], "post"])))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    want = {}
+    for r in docs.collect():
+        text = split(r.text)
+        for i, x in items.items():
+            if set(text) & set(x):
+                got = greedy(text, x, min(5, len(x)))
+                if got and sum(k for *_, k in got) >= 0.5 * len(x):
+                    want[r.doc_id, i] = (sum(k for *_, k in got) / len(x), len(got), sum(k for *_, k in got), max(k for *_, k in got))
+    got = {(r.doc_id, r.item_id): (r.coverage, r.n_tiles, r.matched_words, r.longest) for r in decontaminate.matches(docs, bench).collect()}
+    assert got == want and len(want) > 50
+    left = {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()}
+    assert left == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
 
 
 def test_contaminated(spark, odd_docs, no_docs):
@@ -252,9 +295,12 @@ def test_contaminated(spark, odd_docs, no_docs):
     a, b = "what is the capital of france", "and who was the first to rule it"
     docs = spark.createDataFrame([(100, f"noise {a.upper()}! {b} noise"), (101, f"{b} then other things, {a}"), (102, "what is the capital of spain"), (103, f"x {b} y"), (104, f"{a}")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (round(r.coverage, 3), r.n_tiles) for r in decontaminate.matches(docs, bench).collect()}
-    assert got == {(100, 1): (1.0, 1), (101, 1): (1.0, 2), (103, 1): (0.538, 1)} or set(got) == {(100, 1), (101, 1), (103, 1)}
+    assert got == {(100, 1): (1.0, 1), (101, 1): (1.0, 2), (103, 1): (round(8 / 14, 3), 1)}
     assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == {102, 104}
     odd = decontaminate.contaminated(odd_docs, bench)
+    again = docs.union(docs).select("doc_id", "text", F.lit(1).alias("x"), F.lit(2).alias("y"), F.lit(3).alias("ix"), F.lit(4).alias("seed"))
+    assert sorted(r.doc_id for r in decontaminate.matches(again, bench.union(bench)).collect()) == sorted([100, 101, 103] * 4)
+    assert sorted(map(tuple, decontaminate.contaminated(again, bench).collect())) == sorted([(d, t, 1, 2, 3, 4) for d, t in [(102, "what is the capital of spain"), (104, a)]] * 2)
     assert odd.schema == odd_docs.schema and {9, 10} & {r.doc_id for r in odd.collect()} == set() and odd.count() == odd_docs.count() - 2
     assert decontaminate.matches(no_docs, bench).count() == 0 and decontaminate.matches(odd_docs, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(odd_docs, bench.limit(0)).count() == odd_docs.count()
