@@ -61,6 +61,29 @@ def test_large_group_and_hot_shingle(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_links_across_blocks(spark, monkeypatch):
+    """Groups of many blocks: a chain of texts, near copies of one, and pairs in between."""
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "PARTNERS", 3)
+    rng = random.Random(6)
+    w = [f"c{rng.randrange(9999)}" for _ in range(160)]
+    rows = [(i, " ".join(w[i : i + 60])) for i in range(100)]  # neighbours are linked, the ends share nothing
+    rows += [(500 + i, " ".join([*w[:50], f"x{i}", *w[50:]])) for i in range(60)]
+    rows += [(700 + i, rows[i][1]) for i in range(0, 100, 9)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in N.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_ids_with_several_texts(spark):
+    """Each text of an id is judged by itself."""
+    rng = random.Random(9)
+    a, b, c = ([f"v{rng.randrange(9999)}" for _ in range(60)] for _ in range(3))
+    near = lambda x: " ".join([*x[:-1], "other"])
+    rows = [(1, " ".join(a)), (2, near(a)), (2, " ".join(b)), (2, " ".join(b)), (3, near(b)), (4, " ".join(c)), (None, " ".join(a))]
+    kept = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [rows[0], rows[2], rows[5], rows[6]]))
+
+
 def test_recall_at_the_threshold_and_full_depth(spark, monkeypatch):
     """1,000 pairs of 80 common shingles in 100, all split to the greatest depth."""
     monkeypatch.setattr(N, "SMALL", 1)
@@ -73,7 +96,7 @@ def test_recall_at_the_threshold_and_full_depth(spark, monkeypatch):
 
 
 def test_floor_loses_next_to_nothing():
-    n = N.run_count() * N.DEPTH
+    n = N.tokens(N.run_count())
     least = math.ceil(N.floor(0.8, n) * n)
     assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least)) < 1e-5
 
