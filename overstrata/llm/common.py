@@ -184,7 +184,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             way = way.union(e.select("b", "a"))
         least = Table(way.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), name)
         used.append(least)
-        joined = way.join(least.df, "u")
+        joined = way.join(small(least.df, 32), "u")
         if both:  # neighbours beyond u go to its least one
             return joined.filter("v > u").select(F.col("v").alias("x"), F.col("m").alias("y"))
         return joined.select(F.col("v").alias("x"), F.col("m").alias("y")).union(least.df.select("u", "m"))

@@ -75,15 +75,17 @@ def text_key(text: str = "text") -> Column:
 
 
 def signatures(docs: DataFrame, words: int = WORDS, runs: int | None = None) -> DataFrame:
-    """(doc_id, text_key, signature): the text's hash and its least sampled tokens (null without words)."""
+    """(doc_id, text_key, signature, sketch): the text's hash, its least sampled tokens, and a byte of each (null without words).
 
+    Tokens come by depth, run and choice, so that a split takes its depth's alone; buckets are compared by the bytes.
+    """
     coordinates = tokens(runs or run_count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 32, (2, coordinates), dtype=np.uint32)
         factor, shift = seeds[0] | np.uint32(1), seeds[1]
         for batch in batches:
-            found = [None] * batch.num_rows
+            found, short = [None] * batch.num_rows, [None] * batch.num_rows
             for at, _, data, offsets in C.steps(batch.column("text")):
                 h, doc = C.shingles(C.Words(data, offsets, C.PLAIN_WORDS), words)
                 if len(h):
@@ -92,11 +94,13 @@ def signatures(docs: DataFrame, words: int = WORDS, runs: int | None = None) ->
                     sig = np.empty((len(first), coordinates), np.uint32)
                     for c in range(coordinates):
                         sig[:, c] = np.minimum.reduceat(x * factor[c] + shift[c], first)
+                    byte = (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
                     for i, d in enumerate(doc[first]):
-                        found[at + d] = sig[i].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(found, pa.binary())], names=["doc_id", "text_key", "signature"])
+                        found[at + d], short[at + d] = sig[i].tobytes(), byte[i].tobytes()
+            columns = [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(found, pa.binary()), pa.array(short, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "signature", "sketch"])
 
-    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, "doc_id long, text_key binary, signature binary")
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, "doc_id long, text_key binary, signature binary, sketch binary")
 
 
 def _stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -104,7 +108,7 @@ def _stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
     for t, at in C.whole_groups(batches, "path"):
         at = np.append(at, t.num_rows) if at[-1] != t.num_rows else at
         keys = t["text_key"].to_pylist()
-        sig = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint32).reshape(len(keys), -1)
+        sig = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(keys), -1)
         a, b = [], []
         for s, e in zip(at[:-1], at[1:], strict=True):
             if e - s == 2:
@@ -133,9 +137,9 @@ def _roots(like: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _split(rows: DataFrame, depth: int) -> DataFrame:
-    """(text_key, run, path) of the buckets into which nodes (path, with signatures) part their texts."""
-    token = f"substring(signature, cast(4 * (({DEPTH} * run + {depth}) * {WIDTH} + c) + 1 as int), 4)"
+def _split(rows: DataFrame) -> DataFrame:
+    """(text_key, run, path) of the buckets into which nodes (path, with the depth's tokens) part their texts."""
+    token = f"substring(tokens, cast(4 * (run * {WIDTH} + c) + 1 as int), 4)"
     one, two = f"(h & {WIDTH - 1})", f"((h & {WIDTH - 1}) + 1 + (shiftrightunsigned(h, 8) & 1023) % {WIDTH - 1}) & {WIDTH - 1}"
     chosen = f"if(shiftrightunsigned(h, 32) & 3 = 0, array({one}, {two}), array({one}))"
     paths = F.explode(F.expr(f"transform({chosen}, c -> xxhash64(path, c, {token}))")).alias("path")
@@ -143,10 +147,11 @@ def _split(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Star edges (a, b) between texts that may match, from (text_key, signature)."""
+    """Star edges (a, b) between texts that may match, from (text_key, signature, sketch)."""
     runs = run_count(similarity, recall)
+    at = lambda depth: nodes.select("text_key", F.substring("signature", 4 * WIDTH * runs * depth + 1, 4 * WIDTH * runs).alias("tokens"))
     starts = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")
-    rows = _split(nodes.select("text_key", "signature", starts).withColumn("path", F.xxhash64("run")), 0)
+    rows = _split(at(0).select("text_key", "tokens", starts).withColumn("path", F.xxhash64("run")))
     leaves = edges = None
     for depth in range(1, DEPTH + 1):
         rows = C.Table(rows, "paths").df if depth > 1 else rows
@@ -160,9 +165,9 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY, recall: float =
         if depth == DEPTH:
             edges = large.filter("root <> text_key").select(F.col("root").alias("a"), F.col("text_key").alias("b"))
             break
-        rows = _split(large.select("path", "text_key", "run").join(nodes, "text_key"), depth)
+        rows = _split(large.select("path", "text_key", "run").join(at(depth), "text_key"))
     least = floor(similarity, tokens(runs))
-    signed = leaves.join(nodes, "text_key").select("path", "text_key", "signature")
+    signed = leaves.join(nodes.select("text_key", "sketch"), "text_key").select("path", "text_key", "sketch")
     stars = signed.repartition("path").sortWithinPartitions("path", "text_key").mapInArrow(lambda bs: _stars(bs, least), "a binary, b binary")
     return stars if edges is None else stars.union(edges)
 
@@ -309,8 +314,8 @@ def _classes(docs: DataFrame, similarity: float, words: int, recall: float) -> t
     """Two tables: (doc_id, text_key) of every row, and of every text (text_key, rep, label, class_id, copies, n_texts, n_docs)."""
     C.bounded_batches(docs)
     rows = C.Table(signatures(docs, words, run_count(similarity, recall)), "signatures").df
-    nodes = C.Table(rows.filter("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "texts").df
-    signed = nodes.filter("signature is not null").select("text_key", "signature")
+    nodes = C.Table(rows.filter("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "texts").df
+    signed = nodes.filter("signature is not null").select("text_key", "signature", "sketch")
     found = C.Table(C.components(candidates(signed, similarity, recall), "candidates"), "groups").df
     sizes = C.Table(found.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes").df
     members = found.withColumnRenamed("node", "text_key").join(sizes, "label").join(nodes.select("text_key", "rep", "copies"), "text_key")

@@ -92,7 +92,7 @@ def test_recall_at_the_threshold_and_full_depth(spark, monkeypatch):
         w = [f"{i}w{rng.randrange(10**6)}" for _ in range(104)]
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:84]))]
     nodes = C.Table(N.signatures(spark.createDataFrame(rows, "doc_id long, text string")), "test").df
-    assert N.candidates(nodes.select("text_key", "signature")).distinct().count() >= 980
+    assert N.candidates(nodes.select("text_key", "signature", "sketch")).distinct().count() >= 980
 
 
 def test_floor_loses_next_to_nothing():
