@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import model as M
+from ..codec import Limits
 
 
 def c(x: Column | str) -> Column:
@@ -45,6 +46,19 @@ def le32(x: Column | str) -> Column:
     return F.unhex(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]))
 
 
+def le_f32(x: Column | str) -> Column:
+    """Four little-endian bytes of a 32-bit float: sign, exponent and fraction by arithmetic, rounded to even; NaN is 7FC00000."""
+    v = c(x).cast("float").cast("double")
+    a = F.abs(v)
+    power = F.greatest(F.floor(F.log2(a)), F.lit(-126)).cast("int")
+    power = F.when(a >= F.pow(F.lit(2.0), power + 1), power + 1).when((a < F.pow(F.lit(2.0), power)) & (power > -126), power - 1).otherwise(power)
+    scaled = (a * F.pow(F.lit(2.0), 23 - power)).cast("long")  # exact: the value has 24 bits
+    bits = F.when(scaled >= 1 << 23, (power.cast("long") + 127) * (1 << 23) + scaled - (1 << 23)).otherwise(scaled)
+    sign = F.when((v < 0) | F.startswith(v.cast("string"), F.lit("-")), F.lit(1 << 31).cast("long")).otherwise(F.lit(0).cast("long"))
+    bits = F.when(F.isnan(v), F.lit(0x7FC00000).cast("long")).when(a == float("inf"), F.lit(0x7F800000).cast("long") + sign).when(v == 0, sign).otherwise(bits + sign)
+    return le32(bits)
+
+
 def from_le(x: Column | str, n: int = 4) -> Column:
     """The unsigned number of n little-endian bytes (n up to 7)."""
     h = F.hex(c(x))
@@ -125,22 +139,85 @@ def record_digest(sig: Column | str, payload: Column | str, flags: Column | str,
 # --- collections ----------------------------------------------------------------------------------
 
 
-def encode_list(items: Column | str) -> Column:
+def _fail(code: str) -> Column:
+    return F.raise_error(F.lit(code)).cast("binary")
+
+
+def _bounded(items: Column, n: Column, limits: Limits, out: Column) -> Column:
+    """out, or an error if n elements or the items' bytes are beyond the limits."""
+    total = F.aggregate(F.transform(items, lambda x: F.length(x).cast("long") + 4), F.lit(4).cast("long"), lambda a, x: a + x)
+    return (
+        F.when(n > limits.elements, _fail("TooManyElements"))
+        .when(F.exists(items, lambda x: F.length(x) > limits.element_bytes), _fail("ElementTooLarge"))
+        .when(total > limits.total_bytes, _fail("CollectionTooLarge"))
+        .otherwise(out)
+    )
+
+
+def encode_list(items: Column | str, limits: Limits = Limits()) -> Column:
     """Bytes of an array of BINARY: count, then length and bytes of each."""
-    return F.concat(le32(F.size(c(items))), join_bytes(F.transform(c(items), lambda x: F.concat(le32(F.length(x)), x))))
+    items = c(items)
+    return _bounded(items, F.size(items), limits, F.concat(le32(F.size(items)), join_bytes(F.transform(items, lambda x: F.concat(le32(F.length(x)), x)))))
+
+
+def _blobs(raw: Column, each: int, limits: Limits) -> Column:
+    """The array of a collection's blobs, ``each`` of them an element."""
+    n = from_le(F.substring(raw, 1, 4))
+
+    def step(s: Column, _: Column) -> Column:
+        size = F.when(s["at"] + 3 <= F.octet_length(raw), from_le(F.substring(raw, s["at"], F.lit(4)))).otherwise(F.lit(1 << 32)).cast("long")
+        fits = s["at"] + 4 + size - 1 <= F.octet_length(raw)
+        item = F.when(size >= 1 << 32, _fail("TruncatedCollection")).when(size > limits.element_bytes, _fail("ElementTooLarge")).when(~fits, _fail("TruncatedCollection"))
+        item = item.otherwise(F.substring(raw, s["at"] + 4, F.least(size, F.lit((1 << 31) - 1)).cast("int")))
+        return F.struct((s["at"] + 4 + F.least(size, F.lit(1 << 30))).cast("int").alias("at"), F.array_append(s["items"], item).alias("items"))
+
+    turns = F.when(n == 0, F.expr("cast(array() as array<long>)")).otherwise(F.sequence(F.lit(1).cast("long"), n * each))
+    start = F.struct(F.lit(5).alias("at"), F.expr("cast(array() as array<binary>)").alias("items"))
+    read = F.aggregate(turns, start, step)
+    none = lambda code: F.array(_fail(code))
+    whole = F.transform(F.array(read), lambda s: F.when(s["at"] == F.octet_length(raw) + 1, s["items"]).otherwise(none("TrailingCollectionBytes")))
+    return (
+        F.when(F.octet_length(raw) > limits.total_bytes, none("CollectionTooLarge"))
+        .when(F.octet_length(raw) < 4, none("TruncatedCollection"))
+        .when(n > limits.elements, none("TooManyElements"))
+        .when(n * 4 * each + 4 > F.octet_length(raw), none("TruncatedCollection"))
+        .when(raw.isNotNull(), F.get(whole, F.lit(0)))
+    )
+
+
+def decode_list(raw: Column | str, limits: Limits = Limits()) -> Column:
+    """The array of BINARY that an encoded list holds. Each blob's place follows from the one before, so this is a fold;
+    it copies what it has at each step, which is meant for lists of up to some thousand elements."""
+    return _blobs(c(raw), 1, limits)
+
+
+def decode_set(raw: Column | str, limits: Limits = Limits()) -> Column:
+    """Elements in the order of the bytes; repeated ones are an error."""
+    one = F.array(decode_list(raw, limits))
+    return F.get(F.transform(one, lambda x: F.when(F.size(F.array_distinct(x)) < F.size(x), F.array(_fail("DuplicateSetElement"))).otherwise(x)), F.lit(0))
+
+
+def decode_map(raw: Column | str, limits: Limits = Limits()) -> Column:
+    """The array of struct(k, v) that an encoded map holds, in the order of the bytes; repeated keys are an error."""
+    pair = lambda x: F.transform(F.filter(x, lambda _, i: i % 2 == 0), lambda k, i: F.struct(k.alias("k"), F.get(x, 2 * i + 1).alias("v")))
+    one = F.transform(F.array(_blobs(c(raw), 2, limits)), pair)
+    keys = lambda x: F.transform(x, lambda p: p["k"])
+    wrong = lambda: F.array(F.struct(_fail("DuplicateMapKey").alias("k"), F.lit(None).cast("binary").alias("v")))
+    return F.get(F.transform(one, lambda x: F.when(F.size(F.array_distinct(keys(x))) < F.size(x), wrong()).otherwise(x)), F.lit(0))
 
 
-def encode_set(items: Column | str) -> Column:
+def encode_set(items: Column | str, limits: Limits = Limits()) -> Column:
     ordered = F.array_sort(c(items))
-    return F.when(F.size(F.array_distinct(c(items))) == F.size(c(items)), encode_list(ordered)).otherwise(F.raise_error(F.lit("DuplicateSetElement")).cast("binary"))
+    return F.when(F.size(F.array_distinct(c(items))) == F.size(c(items)), encode_list(ordered, limits)).otherwise(_fail("DuplicateSetElement"))
 
 
-def encode_map(pairs: Column | str) -> Column:
+def encode_map(pairs: Column | str, limits: Limits = Limits()) -> Column:
     """Bytes of an array of struct(k, v), by key."""
     ordered = F.array_sort(c(pairs))
     keys = F.transform(c(pairs), lambda p: p["k"])
     body = F.concat(le32(F.size(c(pairs))), join_bytes(F.transform(ordered, lambda p: F.concat(le32(F.length(p["k"])), p["k"], le32(F.length(p["v"])), p["v"]))))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), body).otherwise(F.raise_error(F.lit("DuplicateMapKey")).cast("binary"))
+    body = _bounded(F.concat(keys, F.transform(c(pairs), lambda p: p["v"])), F.size(keys), limits, body)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), body).otherwise(_fail("DuplicateMapKey"))
 
 
 def append_all(dst: Column | str, src: Column | str) -> Column:

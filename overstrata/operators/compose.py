@@ -50,28 +50,15 @@ def append(dst: Column, src: Column, sig: bytes | str, deduplicate: bool = False
 
 
 def append_list(dst: Column, src: Column, sig: bytes | str, mode: str, limits: codec.Limits = codec.Limits()) -> Column:
-    """Encoded lists joined. Absent in the source: unchanged; absent in the destination: the source's bytes as they are.
-
-    Decoding an encoded list has no built-in form, and Python can't stand in a lambda: the whole arrays go to an Arrow UDF.
-    """
-    key = sig if isinstance(sig, bytes) else sig.encode()
-
-    @F.udf("array<struct<signature:binary,payload:binary>>", useArrow=True)
-    def run(mine, theirs):
-        if mine is None:
-            return None
-        fields = [(bytes(x["signature"]), bytes(x["payload"])) for x in mine]
-        more = [bytes(x["payload"]) for x in theirs or () if bytes(x["signature"]) == key]
-        at = [i for i, f in enumerate(fields) if f[0] == key]
-        if len(at) > 1 or len(more) > 1:
-            raise PackageError("ListSubrecordMultiplicity", signature=key)
-        if more and not at:
-            fields.append((key, more[0]))
-        elif more:
-            fields[at[0]] = (key, codec.append_list(fields[at[0]][1], more[0], mode, limits))
-        return [{"signature": s, "payload": p} for s, p in fields]
-
-    return run(dst, src)
+    """Encoded lists joined. Absent in the source: unchanged; absent in the destination: the source's bytes as they are."""
+    mine, theirs = F.filter(dst, _is(sig)), F.filter(src, _is(sig))
+    at = F.array_position(F.transform(dst, lambda x: x["signature"]), F.lit(sig)).cast("int")
+    join = {"all": K.append_all, "new_indices": K.append_new_indices, "unique": K.append_unique}[mode]
+    one = lambda x: K.decode_list(F.get(x, F.lit(0))["payload"], limits)
+    both = K.encode_list(join(one(mine), one(theirs)), limits)
+    put = F.transform(dst, lambda x, i: F.when(i + 1 == at, F.struct(x["signature"].alias("signature"), both.alias("payload"))).otherwise(F.struct(x["signature"].alias("signature"), x["payload"].alias("payload"))))
+    many = F.raise_error(F.lit("ListSubrecordMultiplicity"))
+    return F.when((F.size(mine) > 1) | (F.size(theirs) > 1), many).when(F.size(theirs) == 0, dst).when(F.size(mine) == 0, F.concat(dst, theirs)).otherwise(put)
 
 
 def apply(dst: Column, src: Column, rules: Sequence[Rule]) -> Column:
@@ -89,18 +76,28 @@ def apply(dst: Column, src: Column, rules: Sequence[Rule]) -> Column:
     return reduce(one, rules, dst)
 
 
-def compose_override(pairs: DataFrame, rules: Sequence[Rule], dst: str = "dst_fields", src: str = "src_fields", out: str = "fields") -> DataFrame:
-    """pairs with the composed fields of each. Each rule is a projection of its own, so expressions stay small."""
-    now = pairs.withColumn(out, F.col(dst))
+def same_signature(fields: Column, *signatures: Column) -> Column:
+    """fields, or an error if signatures of the records differ."""
+    equal = reduce(lambda a, b: a & b, (signatures[0].eqNullSafe(s) for s in signatures[1:]), F.lit(True))
+    return F.when(equal, fields).otherwise(F.raise_error(F.lit("OverrideSignatureMismatch")))
+
+
+def compose_override(pairs: DataFrame, rules: Sequence[Rule], dst: str = "dst_fields", src: str = "src_fields", out: str = "fields", signatures: tuple[str, str] | None = None) -> DataFrame:
+    """pairs with the composed fields of each. Each rule is a projection of its own, so expressions stay small.
+
+    signatures: the columns of both records' signatures, which must be equal.
+    """
+    now = pairs.withColumn(out, same_signature(F.col(dst), *map(F.col, signatures)) if signatures else F.col(dst))
     for r in rules:
         now = now.withColumn(out, apply(F.col(out), F.col(src), [r]))
     return now
 
 
 def compose_chain(chains: DataFrame, rules: Sequence[Rule], chain: str = "chain") -> DataFrame:
-    """The fold of each chain (structs with ``fields``) from its origin to its winner. Rules without encoded lists."""
-    if any(r.strategy == APPEND_LIST for r in rules):
-        raise PackageError("UseComposeOverrideForLists")
+    """The fold of each chain (structs with ``fields``, and ``signature`` if records may differ in it) from its origin to its winner."""
+    if "signature" in chains.schema[chain].dataType.elementType.names:
+        different = F.size(F.array_distinct(F.transform(F.col(chain), lambda x: x["signature"]))) > 1
+        chains = chains.withColumn(chain, F.when(different, F.raise_error(F.lit("OverrideSignatureMismatch"))).otherwise(F.col(chain)))
     fields = F.transform(F.col(chain), lambda x: x["fields"])
     kind = chains.schema[chain].dataType.elementType["fields"].dataType.simpleString()
     first = F.when(F.size(fields) > 0, F.get(fields, F.lit(0))).otherwise(F.raise_error(F.lit("EmptyOverrideChain")).cast(kind))

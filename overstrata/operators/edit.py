@@ -138,7 +138,7 @@ def edit_package(image: bytes, batch: Sequence[Mutation]) -> tuple[bytes, list[i
 
 
 def replace_subrecord(image: bytes, record_id: int, signature: bytes, n: int, payload: bytes) -> bytes:
-    """The image with the n-th subrecord of a signature changed, or appended if it is the next one."""
+    """The image with the n-th subrecord of a signature changed; it is an error if there is none."""
     source = B.Memory(image)
     _, records, _ = B.build_index(source)
     r = next((r for r, _ in records if r.id == record_id), None)

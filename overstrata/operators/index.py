@@ -17,8 +17,16 @@ def by_signature(records: DataFrame, signature: bytes | str, order: str = "recor
     return records.filter(F.col(column) == F.lit(signature)).orderBy(order)
 
 
-def record_at(records: DataFrame, i: int, order: str = "record_ord") -> DataFrame:
-    return records.filter(F.col(order) == i)
+def numbered(records: DataFrame, order: str = "record_ord", package: str | None = "package_index", out: str = "position") -> DataFrame:
+    """records with their place in their package, from 0 in source order; orders themselves are offsets, with gaps."""
+    from .merge import dense_number
+
+    return dense_number(records, order, (package,) if package else (), out=out)
+
+
+def record_at(records: DataFrame, *i: int, order: str = "record_ord", package: str | None = "package_index") -> DataFrame:
+    """The records at places of each package."""
+    return numbered(records, order, package).filter(F.col("position").isin(*i))
 
 
 def path_of(records: DataFrame, record_id: int) -> DataFrame:

@@ -51,11 +51,19 @@ def allocate_ids(records: DataFrame, next_local: int, owned_index: int, order: s
     return numbered.select(F.col(id_column).alias("record_id"), K.record_id(F.lit(owned_index), F.col("_n") + next_local).alias("new_id"))
 
 
+def range_width(rows: DataFrame, order: str, most: int) -> int:
+    """How far ``most`` rows reach in a long order on average."""
+    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    return most if not n or low is None else max(most, -(-(high - low + 1) * most // n))
+
+
 def dense_number(rows: DataFrame, order: str, part: Sequence[str] = (), width: int = 1 << 16, out: str = "_n") -> DataFrame:
     """rows with _n: 0, 1, ... by a long column without repeats, anew in each part.
 
     Counts of ranges of the order come first, and a window works inside each range: no task sees all rows of a part.
+    Ranges are as wide as ``width`` rows take on average, so sparse orders don't make more of them.
     """
+    width = range_width(rows, order, width)
     ranged = rows.withColumn("_b", F.floor(F.col(order) / width))
     sizes = ranged.groupBy(*part, "_b").agg(F.count("*").alias("_c"))
     base = sizes.select(*part, "_b", (F.sum("_c").over(W.partitionBy(*part).orderBy("_b")) - F.col("_c")).alias("_base"))

@@ -41,8 +41,11 @@ def read_range(records: DataFrame, start: int, end: int, skip_persistent: bool =
 def running_sum(rows: DataFrame, order: str, value: str, out: str, width: int = 1 << 16) -> DataFrame:
     """rows with the sum of ``value`` over all rows before, by a dense long column.
 
-    Sums of ranges of the order come first and a window works inside each, so no task sees all rows.
+    Sums of ranges of the order come first and a window works inside each, so no task sees all rows. Rows are read three times.
     """
+    from .merge import range_width
+
+    width = range_width(rows, order, width)
     part = rows.withColumn("_b", F.floor(F.col(order) / width))
     base = part.groupBy("_b").agg(F.sum(value).alias("_s"))
     base = base.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_base"))

@@ -12,9 +12,11 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode, where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: written tables need a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="overstrata-")
         spark.conf.set("spark.checkpoint.dir", base)
         _made[base] = spark

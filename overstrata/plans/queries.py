@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import model as M
 from ..functions import columns as K
 from ..operators import compose, edit, graph, history, ids, index, merge, metadata, overrides, ranges, validate
+from ..operators.tables import Table
 from ..sources import package_source
 from . import views as V
 
@@ -74,9 +75,9 @@ def winning_record_at(spark, sf):
     return overrides.winning_record_at(V.event_origins(spark, sf), 3, "event_id").select("runtime_id", "winner_package", "event_id")
 
 
-@query(f"WITH {E} SELECT runtime_id, max(package_index) AS package_index FROM origins WHERE event_id % 5 = 0 GROUP BY runtime_id")
+@query(f"WITH {E} SELECT runtime_id, max(package_index) AS package_index FROM origins WHERE value < 20 GROUP BY runtime_id")
 def streaming_winner(spark, sf):
-    return overrides.streaming_winners(V.event_origins(spark, sf).filter("event_id % 5 = 0"))
+    return overrides.streaming_winners(V.event_origins(spark, sf).filter("value < 20"))
 
 
 @query(f"WITH {E} SELECT package_index, record_id, runtime_id, upper(lpad(to_hex(runtime_id), 8, '0')) AS shown FROM origins")
@@ -91,9 +92,8 @@ def runtime_id_translate(spark, sf):
 def runtime_id_serialize(spark, sf):
     packages = V.event_packages(spark, sf)
     known = V.event_origins(spark, sf).select("runtime_id").distinct()
-    # Every id as each of the five packages would write it.
-    rows = known.withColumn("package_index", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    rows = rows.join(F.broadcast(packages.select("package_index")), "package_index", "left_semi")
+    # Every id as each of the packages would write it; they are numbered from 0.
+    rows = known.withColumn("package_index", F.explode(F.sequence(F.lit(0), F.lit(packages.count() - 1))))
     return ids.serialize(rows, packages, V.event_dependencies(packages)).select("package_index", "runtime_id", "record_id")
 
 
@@ -127,8 +127,7 @@ def record_point_lookup(spark, sf):
 
 @query("SELECT position, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) WHERE position IN (0, 17, 150)")
 def record_positional(spark, sf):
-    numbered = merge.dense_number(V.load(spark, sf, "documents").select("doc_id"), "doc_id", out="position")
-    return numbered.filter(F.col("position").isin(0, 17, 150)).select("position", "doc_id")
+    return index.record_at(V.load(spark, sf, "documents").select("doc_id"), 0, 17, 150, order="doc_id", package=None).select("position", "doc_id")
 
 
 _FLAGS = "cast(o_orderkey % 2 + 2 * (o_custkey % 2) + 4 * (o_orderkey % 8) as long)"
@@ -186,12 +185,13 @@ def group_descendants(spark, sf):
     return index.descendants(r, M.label_from_id(V.NATION + 7)).select("record_id")
 
 
-@query(f"""WITH {T}, c AS (SELECT * FROM entries WHERE ck IN (1, 2, 3))
+@query(f"""WITH {T}, c AS (SELECT * FROM entries WHERE ck >= 0)
     SELECT DISTINCT record_id FROM (SELECT record_id FROM c UNION ALL SELECT 2048 + rk FROM c UNION ALL SELECT 4096 + nk FROM c)""")
 def group_ancestors(spark, sf):
+    """All customers with the records above them."""
     r, _ = V.tables(spark, sf)
     edges = r.select(F.col("record_id").alias("a"), F.explode("path").alias("g")).select("a", K.label_id("g.label").alias("b")).distinct()
-    start = r.filter(F.col("record_id").isin(*[V.CUSTOMER + i for i in (1, 2, 3)])).select(F.col("record_id").alias("node"))
+    start = r.filter(F.col("record_id") >= V.CUSTOMER).select(F.col("record_id").alias("node"))
     return graph.closure(edges, start).select(F.col("node").alias("record_id"))
 
 
@@ -203,7 +203,7 @@ def group_sizes(spark, sf):
 
 @query(f"WITH {T} SELECT pre_order, record_id, label, header_offset FROM entries")
 def entry_offsets(spark, sf):
-    t = ranges.running_sum(V.tree(spark, sf), "pre_order", "own_bytes", "header_offset")
+    t = ranges.running_sum(Table(V.tree(spark, sf), "tree").df, "pre_order", "own_bytes", "header_offset")
     return t.select("pre_order", "record_id", F.col("label_of").alias("label"), "header_offset")
 
 
@@ -257,14 +257,13 @@ def validate_orphans(spark, sf):
     return validate.orphaned_paths(left).select("code", "record_id", "related")
 
 
-@query(f"""WITH {E}, s AS (SELECT DISTINCT p.package_index, o.record_id FROM origins o, (SELECT package_index FROM types) p WHERE o.event_id % 5 = 0 AND p.package_index >= o.package_index)
+@query(f"""WITH {E}, s AS (SELECT DISTINCT p.package_index, o.record_id FROM origins o, (SELECT package_index FROM types) p WHERE o.value < 20 AND p.package_index >= o.package_index)
     SELECT 'PCP-STREAMING-OVERRIDE-MISSING' AS code, package_index, record_id FROM s ANTI JOIN origins USING (package_index, record_id)""")
 def validate_streaming_missing(spark, sf):
     # Each package lists what it or an earlier one has; what it has no record of itself is missing.
     p = V.event_packages(spark, sf)
     r = V.event_records(spark, sf, p)
-    listed = r.filter("event_id % 5 = 0").select(F.explode(F.sequence("package_index", F.lit(4))).alias("package_index"), "record_id").distinct()
-    listed = listed.join(F.broadcast(p.select("package_index")), "package_index", "left_semi")
+    listed = r.filter("value < 20").select(F.explode(F.sequence("package_index", F.lit(p.count() - 1))).alias("package_index"), "record_id").distinct()
     return validate.missing_streaming_overrides(listed, r).select("code", "package_index", "record_id")
 
 
@@ -326,7 +325,7 @@ def load_order_violations(spark, sf):
     return graph.load_order_violations(p, d, none).select("package_index", "code", "related")
 
 
-@query()
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey // 4, n_nationkey DESC) - 1)::INT AS position, n_nationkey AS package FROM nation")
 def load_order_repair(spark, sf):
     """(position, package) of the repaired order of nations, where n depends on n + 1 but for every fourth."""
     names = [r.n_nationkey for r in V.load(spark, sf, "nation").orderBy("n_nationkey").collect()]  # the packages of one load order

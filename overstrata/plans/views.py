@@ -52,7 +52,7 @@ def event_records(spark: SparkSession, sf: str, packages: DataFrame) -> DataFram
     owner = F.least(F.pmod("user_id", F.lit(3)), F.col("package_index"))
     owner = F.when((owner == 1) & (local > M.MAX_COMPACT_LOCAL), 0).otherwise(owner).cast("long")
     keyed = e.select("package_index", K.record_id(owner, local).alias("record_id"), "event_id", "ts", "value")
-    latest = keyed.groupBy("package_index", "record_id").agg(F.max("event_id").alias("event_id"))
+    latest = keyed.groupBy("package_index", "record_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
     return latest.withColumns({"signature": F.when(F.col("event_id") % 7 == 0, "USRB").otherwise("USRA"), "flags": F.when(F.col("event_id") % 11 == 0, 1).otherwise(0).cast("long")})
 
 
@@ -62,9 +62,10 @@ def event_origins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EVENTS_SQL = """types AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS package_index FROM (SELECT DISTINCT event_type FROM events)),
-    recs AS (SELECT package_index, least(user_id % 3, package_index) AS owner, 2048 + user_id % 2000 AS local, max(event_id) AS event_id
-        FROM events JOIN types USING (event_type) GROUP BY ALL),
-    origins AS (SELECT package_index, owner * 16777216 + local AS record_id, event_id,
+    placed AS (SELECT package_index, CASE WHEN least(user_id % 3, package_index) = 1 AND user_id + 2048 > 4095 THEN 0 ELSE least(user_id % 3, package_index) END AS owner,
+        2048 + user_id AS local, event_id, value FROM events JOIN types USING (event_type)),
+    recs AS (SELECT package_index, owner, local, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM placed GROUP BY package_index, owner, local),
+    origins AS (SELECT package_index, owner * 16777216 + local AS record_id, event_id, value,
         CASE WHEN event_id % 7 = 0 THEN 'USRB' ELSE 'USRA' END AS signature, CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS flags,
         CASE owner WHEN 0 THEN local WHEN 1 THEN 4261412864 + local ELSE 16777216 + local END AS runtime_id FROM recs)"""
 

@@ -8,8 +8,12 @@ subrecords), payload (true; false leaves payloads unread), split_bytes (32 MB: t
 of about this size), start and end (a byte range of entries), skip_group_types (a list: such groups are jumped over).
 Packages get their package_index from the order of ``paths``, a list separated by commas, or of a sorted glob.
 
-Metadata tables read only each file's header. The others plan by walking top-level headers, 16 or 52 bytes each; a
-top-level group beyond the split size is opened up one level.
+``columns`` (a list) leaves the other columns out, and payloads unread if theirs is not among them. With ``pushdown``
+(false) filters on signature, record_id and header_offset are pushed down: what they exclude is passed over by its header,
+its payload unread. Spark 4.1 keeps what was pushed into a source with it, so such a DataFrame is for one set of filters.
+
+Metadata tables read only each file's header. Files up to the split size are planned by their sizes alone; larger ones by
+walking top-level headers, 16 or 52 bytes each, and a top-level group beyond the split size is opened up one level.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType, _parse_datatype_string  # noqa: F401
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .. import codec as B
 from .. import model as M
@@ -36,6 +41,18 @@ SCHEMAS = {
     "subrecords": M.SUBRECORDS,
 }
 ROWS_PER_BATCH = 4096
+BATCH_BYTES = 16 << 20
+
+
+def _fields(schema: str) -> list[str]:
+    """The fields of a schema's text, split at its outer commas."""
+    out, depth, at = [], 0, 0
+    for i, ch in enumerate(schema):
+        depth += {"<": 1, ">": -1}.get(ch, 0)
+        if ch == "," and not depth:
+            out.append(schema[at:i].strip())
+            at = i + 1
+    return [*out, schema[at:].strip()] if schema else []
 
 
 def files(path: str) -> list[str]:
@@ -76,16 +93,31 @@ class Part(InputPartition):
 
 
 class PackageReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, schema: StructType):
         self.table = options.get("table", "records")
+        self.names, self.schema = schema.names, to_arrow_schema(schema)
+        self.all = [x.split()[0] for x in _fields(SCHEMAS.get(self.table, ""))]
+        self.tests: list[tuple[str, type, object]] = []
         if self.table not in SCHEMAS:
             raise M.PackageError("UnknownTable", table=self.table)
         self.files = files(options.get("path") or options["paths"])
-        self.payload = options.get("payload", "true").lower() == "true"
+        self.payload = options.get("payload", "true").lower() == "true" and "payload" in self.names
         self.split = int(options.get("split_bytes", 32 << 20))
         self.start, self.end = (int(options[k]) if k in options else None for k in ("start", "end"))
         self.skip = {int(x) for x in options.get("skip_group_types", "").split(",") if x.strip()}
 
+    def _wanted(self, r: B.Record) -> bool:
+        for name, kind, value in self.tests:
+            x = {"signature": r.signature, "record_id": r.id}.get(name, r.offset)
+            if kind is In:
+                ok = any(x == (bytes(v) if isinstance(v, bytearray) else v) for v in value)
+            else:
+                value = bytes(value) if isinstance(value, bytearray) else value
+                ok = {EqualTo: x == value}.get(kind) if kind is EqualTo else {GreaterThan: x > value, GreaterThanOrEqual: x >= value, LessThan: x < value, LessThanOrEqual: x <= value}[kind]
+            if not ok:
+                return False
+        return True
+
     def _keep(self, g: B.Group, _: tuple) -> bool:
         return g.type not in self.skip
 
@@ -94,6 +126,11 @@ class PackageReader(DataSourceReader):
             return [Part(i, f, 0, 0) for i, f in enumerate(self.files)] or [Part(-1, "", 0, 0)]
         out = []
         for i, f in enumerate(self.files):
+            if self.start is None and self.end is None:
+                fs, at = B.file_system(f)
+                if fs.get_file_info(at).size <= self.split:
+                    out.append(Part(i, f, None, None))
+                    continue
             source = B.File(f)
             p = B.open_package(source)
             start, end = self.start if self.start is not None else p.content_offset, self.end if self.end is not None else source.size
@@ -119,17 +156,28 @@ class PackageReader(DataSourceReader):
         if part.index < 0:
             return
         source = B.File(part.file)
-        rows, fields = [], None
+        if part.start is None:
+            part = Part(part.index, part.file, B.open_package(source).content_offset if self.table in ("groups", "records", "subrecords") else 0, source.size)
+        rows, size = [], 0
         for row in self._rows(part, source):
             rows.append(row)
-            if len(rows) == ROWS_PER_BATCH:
-                yield from self._batch(rows)
-                rows = []
+            size += sum(len(x) for x in row if isinstance(x, bytes))
+            if len(rows) == ROWS_PER_BATCH or size >= BATCH_BYTES:
+                yield self._batch(rows)
+                rows, size = [], 0
         if rows:
-            yield from self._batch(rows)
-
-    def _batch(self, rows: list[tuple]) -> Iterator[tuple]:
-        yield from rows
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        at = {n: i for i, n in enumerate(self.all)}
+        columns = []
+        for f in self.schema:
+            values = [r[at[f.name]] for r in rows]
+            if pa.types.is_list(f.type):  # paths: tuples become structs
+                names = [x.name for x in f.type.value_type]
+                values = [[dict(zip(names, x, strict=True)) for x in v] for v in values]
+            columns.append(pa.array(values, f.type))
+        return pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
     def _rows(self, part: Part, source: B.File) -> Iterator[tuple]:
         if self.table not in ("groups", "records", "subrecords"):
@@ -147,6 +195,8 @@ class PackageReader(DataSourceReader):
                 continue
             if self.table == "groups":
                 continue
+            if self.tests and not self._wanted(e):
+                continue
             body = source.read(e.payload_offset, e.size) if self.payload or self.table == "subrecords" else None
             if self.table == "subrecords":
                 seen: dict[bytes, int] = {}
@@ -161,6 +211,19 @@ class PackageReader(DataSourceReader):
         return (i, g.offset, len(path), g.offset, g.payload_offset, g.end, g.size, g.label, g.type, path[-1].offset if path else None, [(x.offset, x.label, x.type) for x in path])
 
 
+class PushingReader(PackageReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes what a record's header decides; the rest stays Spark's."""
+        usable = {"records": {"signature", "record_id", "header_offset", "record_ord"}, "subrecords": {"record_id", "record_ord"}}.get(self.table, set())
+        for f in filters:
+            if isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and len(f.attribute) == 1 and f.attribute[0] in usable:
+                self.tests.append((f.attribute[0], type(f), f.value))
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1 and f.attribute[0] in usable:
+                continue  # headers have no nulls
+            else:
+                yield f
+
+
 class PackageDataSource(DataSource):
     """Orders (record_ord, pre_order) are header offsets: unique in a file and in its order, without a numbering pass."""
 
@@ -169,10 +232,18 @@ class PackageDataSource(DataSource):
         return "overstrata"
 
     def schema(self) -> str:
-        return SCHEMAS[self.options.get("table", "records")]
+        table = self.options.get("table", "records")
+        if table not in SCHEMAS:
+            raise M.PackageError("UnknownTable", table=table)
+        wanted = [x.strip() for x in self.options.get("columns", "").split(",") if x.strip()]
+        fields = {f.split()[0]: f for f in _fields(SCHEMAS[table])}
+        if unknown := [x for x in wanted if x not in fields]:
+            raise M.PackageError("UnknownColumn", column=unknown[0])
+        return ", ".join(fields[x] for x in wanted or fields)
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return PackageReader(dict(self.options))
+        pushing = self.options.get("pushdown", "false").lower() == "true"
+        return (PushingReader if pushing else PackageReader)(dict(self.options), schema)
 
     def writer(self, schema: StructType, overwrite: bool):
         from .package_sink import PackageWriter
@@ -186,6 +257,8 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, path: str | list[str], table: str = "records", **options) -> DataFrame:
     register(spark)
+    if options.get("pushdown"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     path = ",".join(path) if isinstance(path, list) else path
     return spark.read.format("overstrata").option("table", table).options(**{k: str(v) for k, v in options.items()}).load(path)
 
@@ -196,11 +269,22 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def subrecords(records: DataFrame) -> DataFrame:
-    """The subrecords of records, from their payloads."""
-    from pyspark.sql import functions as F
-
-    @F.udf("array<struct<signature:binary,payload:binary>>", useArrow=True)
-    def split(payload):
-        return None if payload is None else [{"signature": s, "payload": p} for s, p in B.fields_of(bytes(payload))]
-
-    return records.withColumn("f", split("payload")).select("package_index", "record_id", "record_ord", F.posexplode("f").alias("ord", "f")).select("package_index", "record_id", "record_ord", "ord", "f.signature", "f.payload")
+    """The subrecords of records, from their payloads: whole batches in and out."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ords, signatures, payloads = [], [], [], []
+            for i, body in enumerate(batch.column("payload")):
+                for n, (sig, payload) in enumerate(B.fields_of(body.as_py()) if body.is_valid else ()):
+                    rows.append(i)
+                    ords.append(n)
+                    signatures.append(sig)
+                    payloads.append(payload)
+            take = pa.array(rows, pa.int64())
+            columns = [batch.column(c).take(take) for c in ("package_index", "record_id", "record_ord")]
+            columns += [pa.array(ords, pa.int32()), pa.array(signatures, pa.binary()), pa.array(payloads, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["package_index", "record_id", "record_ord", "ord", "signature", "payload"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in records.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("package_index", "record_id", "record_ord"))
+    return records.select("package_index", "record_id", "record_ord", "payload").mapInArrow(split, f"{schema}, ord int, signature binary, payload binary")

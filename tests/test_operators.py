@@ -1,5 +1,6 @@
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,93 @@ def test_streams(spark, tmp_path):
     q = w.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.winner_package, r.chain_length) for r in spark.sql("select * from w").collect()] == [(2, 2)]
+
+
+def test_pushed_filters_and_columns(spark, tmp_path):
+    """Excluded payloads are never read, and the plan names the filters."""
+    path = tmp_path / "s.pcp"
+    path.write_bytes(scenes())
+    whole = {r.record_id: bytes(r.signature) for r in package_source.read(spark, str(path)).collect()}
+    sig = whole[0x801]
+    for cond, want in ((F.col("signature") == F.lit(sig), {i for i, s in whole.items() if s == sig}), (F.col("record_id").isin(0x801, 0x805), {0x801, 0x805}), ((F.col("header_offset") > 400) & (F.col("record_id") <= 0x806), None)):
+        df = package_source.read(spark, str(path), pushdown=True).filter(cond)
+        got = {r.record_id for r in df.collect()}
+        assert got == ({r.record_id for r in package_source.read(spark, str(path)).filter(cond).collect()} if want is None else want)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Filter" not in plan.split("BatchScan")[0], plan
+    few = package_source.read(spark, str(path), columns="record_id,signature")
+    assert few.columns == ["record_id", "signature"] and few.count() == len(whole)
+    assert package_source.read(spark, str(path), "subrecords", pushdown=True).filter("record_id = 2049").select("record_id").distinct().count() <= 1
+
+
+def test_places_in_packages(spark, tmp_path):
+    """Positions count from 0 in each package, whatever the offsets."""
+    for i in range(2):
+        (tmp_path / f"{i}.pcp").write_bytes(scenes())
+    r = package_source.read(spark, str(tmp_path))
+    ids = [x.record_id for x in package_source.read(spark, str(tmp_path / "0.pcp")).orderBy("header_offset").collect()]
+    got = {(x.package_index, x.position, x.record_id) for x in index.record_at(r, 0, 3, 9).collect()}
+    assert got == {(p, i, ids[i]) for p in (0, 1) for i in (0, 3, 9)}
+
+
+def test_encoded_collections_in_columns(spark):
+    from overstrata.functions import columns as K
+
+    rows = [(i, [bytes([j % 251]) * (j % 5) for j in range(n)]) for i, n in enumerate((0, 1, 3, 400))]
+    df = spark.createDataFrame(rows, "i int, items array<binary>")
+    got = {r.i: (bytes(r.e), [bytes(x) for x in r.d]) for r in df.select("i", K.encode_list("items").alias("e")).select("i", "e", K.decode_list("e").alias("d")).collect()}
+    assert got == {i: (B.encode_list(x), x) for i, x in rows}
+    pairs = [(b"b", b"2"), (b"a", b""), (b"c", b"33")]
+    m = spark.createDataFrame([(pairs,)], "p array<struct<k:binary,v:binary>>").select(K.decode_map(K.encode_map("p")).alias("m")).first().m
+    assert [(bytes(x.k), bytes(x.v)) for x in m] == sorted(pairs)
+    good = B.encode_list([b"ab", b"c"])
+    small = B.Limits(elements=2, element_bytes=3, total_bytes=30)
+    bad = {good[:-1]: "TruncatedCollection", good[:3]: "TruncatedCollection", good + b"x": "TrailingCollectionBytes", b"\xff" * 8: "TooManyElements", B.encode_list([b"long one"]): "ElementTooLarge", B.encode_list([b"a", b"a"]): "DuplicateSetElement", b"\1\0\0\0" + b"\xff" * 4: "ElementTooLarge"}
+    for raw, code in bad.items():
+        with pytest.raises(Exception, match=code):
+            spark.createDataFrame([(raw,)], "b binary").select(K.decode_set("b", small)).collect()
+    for items, code in (([b"1"] * 3, "TooManyElements"), ([b"long one"], "ElementTooLarge"), ([b"abc", b"abc"], None)):
+        df = spark.createDataFrame([(items,)], "items array<binary>").select(K.encode_list("items", small))
+        if code is None:
+            assert bytes(df.first()[0]) == B.encode_list(items)
+        else:
+            with pytest.raises(Exception, match=code):
+                df.collect()
+
+
+def test_floats_in_columns(spark):
+    import struct
+
+    from overstrata.functions import columns as K
+
+    values = [0.0, -0.0, 1.0, -2.5, 0.1, 1e-45, -3e-40, 1.17549435e-38, 3.4028235e38, float("inf"), float("-inf"), float("nan"), 8.0, 16777217.0, 7.999999]
+    got = [bytes(r[0]) for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v float").orderBy("i").select(K.le_f32("v")).collect()]
+    assert got == [struct.pack("<f", np.float32(v)) for v in values]
+
+
+def test_signatures_of_composed_records(spark):
+    row = [(1, "ITEM", "ITEM", [(b"A", b"1")], [(b"A", b"2")]), (2, "ITEM", "SCEN", [(b"A", b"1")], [(b"A", b"2")])]
+    df = spark.createDataFrame(row, "i int, d string, s string, dst_fields array<struct<signature:binary,payload:binary>>, src_fields array<struct<signature:binary,payload:binary>>")
+    ok = compose.compose_override(df.filter("i = 1"), [compose.Rule(b"A", compose.REPLACE)], signatures=("d", "s")).first()
+    assert bytes(ok.fields[0].payload) == b"2"
+    with pytest.raises(Exception, match="OverrideSignatureMismatch"):
+        compose.compose_override(df, [compose.Rule(b"A", compose.REPLACE)], signatures=("d", "s")).collect()
+    chain = df.select("i", F.array(F.struct(F.col("d").alias("signature"), F.col("dst_fields").alias("fields")), F.struct(F.col("s").alias("signature"), F.col("src_fields").alias("fields"))).alias("chain"))
+    assert bytes(compose.compose_chain(chain.filter("i = 1"), [compose.Rule(b"A", compose.REPLACE)]).first().fields[0].payload) == b"2"
+    with pytest.raises(Exception, match="OverrideSignatureMismatch"):
+        compose.compose_chain(chain, [compose.Rule(b"A", compose.REPLACE)]).collect()
+
+
+def test_lists_in_chains(spark):
+    """Encoded lists along a chain of three records, against the fold of the codec."""
+    lists = [[b"1", b"2", b"2"], [b"2", b"3"], [b"4", b"1", b"5", b"6"]]
+    rec = [(b"NAME", b"x"), (b"QSTS", None)]
+    chain = [[(s, B.encode_list(x) if p is None else p) for s, p in rec] for x in lists]
+    df = spark.createDataFrame([([(c,) for c in chain],), ([(chain[0][:1],), (chain[1],), (chain[0][:1],)],)], "chain array<struct<fields:array<struct<signature:binary,payload:binary>>>>")
+    for mode in ("all", "new_indices", "unique"):
+        got = [{bytes(f.signature): bytes(f.payload) for f in r.fields} for r in compose.compose_chain(df, [compose.Rule(b"QSTS", compose.APPEND_LIST, mode=mode)]).collect()]
+        want = B.append_list(B.append_list(chain[0][1][1], chain[1][1][1], mode), chain[2][1][1], mode)
+        assert got == [{b"NAME": b"x", b"QSTS": want}, {b"NAME": b"x", b"QSTS": chain[1][1][1]}]
+    twice = spark.createDataFrame([([([*chain[0], *chain[0]],), (chain[1],)],)], df.schema)
+    with pytest.raises(Exception, match="ListSubrecordMultiplicity"):
+        compose.compose_chain(twice, [compose.Rule(b"QSTS", compose.APPEND_LIST)]).collect()
