@@ -29,8 +29,8 @@ def record_at(records: DataFrame, *i: int, order: str = "record_ord", package: s
     return numbered(records, order, package).filter(F.col("position").isin(*i))
 
 
-def path_of(records: DataFrame, record_id: int) -> DataFrame:
-    return record(records, record_id).select("path")
+def path_of(records: DataFrame, record_id: int, *keep: str) -> DataFrame:
+    return record(records, record_id).select(*keep, "path")
 
 
 def with_flags(records: DataFrame, mask: int, column: str = "flags") -> DataFrame:

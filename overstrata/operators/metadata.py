@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from .. import model as M
 from ..functions import columns as K
 
 
-def first_owned_local(load_class: str = "load_class") -> F.Column:
-    return F.when(F.col(load_class) == M.COMPACT, M.FIRST_COMPACT_LOCAL).otherwise(M.FIRST_FULL_LOCAL)
+def first_owned_local(load_class: str | F.Column = "load_class") -> F.Column:
+    return F.when(K.c(load_class) == M.COMPACT, M.FIRST_COMPACT_LOCAL).otherwise(M.FIRST_FULL_LOCAL)
 
 
 def set_load_class(packages: DataFrame, package_id: bytes, value: int) -> DataFrame:
@@ -22,18 +24,36 @@ def set_load_class(packages: DataFrame, package_id: bytes, value: int) -> DataFr
 
 
 def set_fields(packages: DataFrame, package_id: bytes, **values) -> DataFrame:
+    if not 0 <= values.get("next_local_identifier", 0) <= M.MAX_LOCAL:
+        raise M.PackageError("NextLocalIdentifierOutOfRange", value=values["next_local_identifier"])
     mine = F.col("package_id") == F.lit(package_id)
     return packages.withColumns({k: F.when(mine, F.lit(v)).otherwise(F.col(k)) for k, v in values.items()})
 
 
-def add_relation(relations: DataFrame, package_index: int, package_id: bytes, name: str, requirement: str | None = None) -> DataFrame:
-    """The relation at the end of the package's list; a repeated one is an error."""
+def add_relation(relations: DataFrame, package_index: int, package_id: bytes, name: str, requirement: str | None = None, packages: DataFrame | None = None, limit: int | None = M.MAX_DEPENDENCIES) -> DataFrame:
+    """The relation at the end of the package's list. A repeated one, one with the package itself (of ``packages``:
+    package_index, package_id), or one beyond the limit is an error; incompatibilities have none."""
+    from ..codec import Relation
+
+    checked = Relation(package_id, name, requirement)
     spark = relations.sparkSession
     mine = relations.filter(F.col("package_index") == package_index)
-    if mine.filter(F.col("package_id") == F.lit(package_id)).limit(1).count():
+    known, n, after = mine.agg(F.count_if(F.col("package_id") == F.lit(package_id)), F.count("*"), F.coalesce(F.max("ord") + 1, F.lit(0))).first()
+    if known:
         raise M.PackageError("DuplicateRelationship", package=package_id.hex())
-    n = mine.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).first()[0]
-    return relations.unionByName(spark.createDataFrame([(package_index, n, bytearray(package_id), name, requirement)], M.RELATIONS))
+    if limit is not None and n >= limit:
+        raise M.PackageError("TooManyDependencies", count=n + 1)
+    if packages is not None and not packages.filter((F.col("package_index") == package_index) & (F.col("package_id") == F.lit(package_id))).isEmpty():
+        raise M.PackageError("SelfRelationship", package=package_id.hex())
+    return relations.unionByName(spark.createDataFrame([(package_index, after, bytearray(package_id), name, checked.requirement)], M.RELATIONS))
+
+
+def replace_relations(relations: DataFrame, package_index: int, new: Sequence[tuple[bytes, str, str | None]], packages: DataFrame | None = None, limit: int | None = M.MAX_DEPENDENCIES) -> DataFrame:
+    """The package's list made of (package_id, name, requirement) instead, with the same rules."""
+    out = relations.filter(F.col("package_index") != package_index)
+    for r in new:
+        out = add_relation(out, package_index, *r, packages=packages, limit=limit)
+    return out
 
 
 def remove_relation(relations: DataFrame, package_index: int, package_id: bytes) -> DataFrame:

@@ -605,3 +605,6 @@ def package_headers(spark, sf):
 def package_subrecords(spark, sf):
     s = package_source.read(spark, V.order_packages(spark, sf), "subrecords")
     return s.groupBy(F.col("package_index").cast("long").alias("package_index"), K.show_signature("signature").alias("signature")).agg(F.count("*").alias("n_fields"), F.sum(F.octet_length("payload")).alias("n_bytes"))
+
+
+from . import files  # noqa: E402, F401  registers its queries
