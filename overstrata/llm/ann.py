@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph for each shard.
 
-Every distinct vector goes to a shard by its hash; shards have a bounded number of vectors, so their number grows with the
-input. A shard's graph is a stack of layers, each a flat array of neighbour numbers, and is stored as one row of a
-table. Queries come in blocks; each block visits each shard, and a shard's nearest are merged by query.
+Every distinct vector goes to a shard by its hash; shards have a bounded number of vectors and bytes, so their number grows
+with the input. A shard's graph is a stack of layers, each a flat array of neighbour numbers; with the shard's vectors
+and ids it is one file of the shared folder. Queries come in blocks, a file each. A task takes one block through a
+few shards, reads one shard at a time, and merges what they find, so neither vectors nor graphs are shuffled and a query
+sends its nearest once for all shards of a task.
 
 Inner products become distances on a sphere by one more component, sqrt(R^2 - |x|^2), so the graph can use
-its usual rule for diverse links; a query has 0 there, and its order is that of the plain products. Scores are
-computed again in double precision from the original components.
+its usual rule for diverse links; a query has 0 there, and its order is that of the plain products. Graphs have the
+precision of the vectors, floats or doubles, scaled to the longest. Scores are computed again in double precision from
+the original components. A shard of up to ``EXACT`` points is searched whole.
 
 Equal vectors are one point with the smallest ids that a result can need (k + 1). Defined cases: rows whose id is
 null, or whose vector is null, empty, zero, or holds null or non-finite components take no part; repeated rows count once;
@@ -16,17 +19,23 @@ the least of them and its own rows are no candidates; an empty table gives no ro
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-SHARD_ROWS = 4096
-QUERY_BLOCK = 4096
+SHARD_ROWS = 16384
+SHARD_BYTES = 64 << 20
+EXACT = 256
+QUERY_BLOCK = 1024
+SHARDS_AT_ONCE = 16  # of a task at most; a 64th of all shards if those are fewer
 LINKS = 16  # in upper layers; twice as many in the lowest
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 96
@@ -36,9 +45,11 @@ class Graph:
     """Layers from the lowest up: members (point numbers) and links (rows of point numbers, -1 for none)."""
 
     def __init__(self, vectors: np.ndarray):
-        norms = (vectors.astype(np.float64) ** 2).sum(1)
-        rest = np.sqrt(np.maximum(norms.max() - norms, 0))
-        self.points = np.concatenate([vectors, rest[:, None]], 1).astype(np.float32)
+        # Twice scaled, so that no square overflows: by the largest component, then by the longest vector.
+        scaled = vectors.astype(np.float64) / np.abs(vectors).max()
+        scaled /= np.sqrt((scaled**2).sum(1).max())
+        rest = np.sqrt(np.maximum(1 - (scaled**2).sum(1), 0))
+        self.points = np.concatenate([scaled, rest[:, None]], 1).astype(vectors.dtype)
         self.layers: list[np.ndarray] = []
 
     @classmethod
@@ -131,7 +142,7 @@ class Graph:
         """(points, products) of the ``width`` best found in a layer, best first; all queries step together."""
         links, b = self.layers[k], len(queries)
         ids = np.full((b, width), -1, np.int64)
-        sim = np.full((b, width), -np.inf, np.float32)
+        sim = np.full((b, width), -np.inf, self.points.dtype)
         ids[:, : start.shape[1]] = start
         sim[:, : start.shape[1]] = np.einsum("bcd,bd->bc", self.points[start], queries)
         fresh = ids >= 0
@@ -166,7 +177,10 @@ class Graph:
 
     def nearest(self, queries: np.ndarray, width: int) -> np.ndarray:
         """Numbers of the points found near each query, -1 for none."""
-        q = np.concatenate([queries, np.zeros((len(queries), 1), np.float32)], 1).astype(np.float32)
+        if len(self.points) <= max(EXACT, width):
+            return np.broadcast_to(np.arange(len(self.points)), (len(queries), len(self.points)))
+        q = queries / np.abs(queries).max(1, keepdims=True)  # an order by products has no scale
+        q = np.concatenate([q, np.zeros((len(q), 1), q.dtype)], 1).astype(self.points.dtype)
         out = []
         for low in range(0, len(q), 512):
             part = q[low : low + 512]
@@ -192,93 +206,124 @@ class Graph:
         return g
 
 
-INDEX = "shard long, dim int, vectors binary, ids binary, ends binary, graph binary"
+def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    kind = np.float32 if pa.types.is_float32(column.type.value_type) else np.float64
+    return np.concatenate([np.asarray(x.values.to_numpy(zero_copy_only=False), kind) for x in column]).reshape(-1, dim)
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _store(folder: str, arrays: dict[str, np.ndarray]) -> str:
+    """A file of arrays under a name that no other attempt of a task uses."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root)
+    name, held = uuid.uuid4().hex, io.BytesIO()
+    np.savez(held, **arrays)
+    with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+        f.write(held.getbuffer())
+    return name
+
+
+def _load(folder: str, name: str) -> dict[str, np.ndarray]:
+    fs, root = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
+        return dict(np.load(io.BytesIO(f.read())))
+
+
+def _build(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     for t, at in C.whole_groups(batches, "shard"):
         at = np.append(at, t.num_rows) if at[-1] != t.num_rows else at
         for s, e in zip(at[:-1], at[1:], strict=True):
             g = t.slice(s, e - s)
-            dim = g["dim"][0].as_py()
-            vectors = np.frombuffer(b"".join(np.array(x.values.to_numpy(zero_copy_only=False), np.float32).tobytes() for x in g["embedding"]), np.float32).reshape(-1, dim)
-            ids = g["ids"].to_pylist()
-            graph = Graph.build(vectors)
-            row = [g["shard"][0].as_py(), dim, vectors.tobytes(), np.concatenate(ids).astype(np.int64).tobytes(), np.cumsum([len(x) for x in ids]).astype(np.int64).tobytes(), graph.pack()]
-            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "dim", "vectors", "ids", "ends", "graph"])
+            dim, ids = g["dim"][0].as_py(), g["ids"].to_pylist()
+            vectors = _vectors(g["embedding"], dim)
+            graph = Graph.build(vectors).pack() if len(vectors) > EXACT else b""
+            file = _store(folder, {"vectors": vectors, "ids": np.concatenate(ids).astype(np.int64), "ends": np.cumsum([len(x) for x in ids]), "graph": np.frombuffer(graph, np.uint8)})
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([g["shard"][0].as_py()], pa.int64()), pa.array([file])], names=["dim", "shard", "file"])
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """(vec_id, embedding, dim) of the rows that take part."""
-    good = "vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(embedding, x -> x <> 0)"
-    return table.filter(good).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.size("embedding").alias("dim")).distinct()
+    """(vec_id, embedding, dim) of the rows that take part; components are floats if the table's are, else doubles."""
+    good = "vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
+    kind = "float" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    return table.filter(good).select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>"), F.size("embedding").alias("dim")).distinct()
 
 
-def index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row for each shard, from ``usable`` rows."""
+def index(rows: DataFrame, k: int, folder: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(dim, shard, file) of each shard, from ``usable`` rows."""
     points = rows.withColumn("n", F.expr("row_number() over (partition by embedding order by vec_id)")).filter(F.col("n") <= k + 1)
     points = points.groupBy("embedding", "dim").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 ids at most
     points = C.Table(points, "points").df
-    shards = max(1, -(-points.count() // shard_rows))
+    n, dim = points.agg(F.count("*"), F.max("dim")).first()
+    shards = max(1, -(-n // max(1, min(shard_rows, SHARD_BYTES // (8 * (dim or 1))))))
     points = points.withColumn("shard", F.expr(f"dim * 1000000000L + pmod(xxhash64(embedding), {shards})"))
-    built = points.repartition(shards, "shard").sortWithinPartitions("shard", F.expr("ids[0]")).mapInArrow(_build, INDEX)
+    built = points.repartition(shards, "shard").sortWithinPartitions("shard", F.expr("ids[0]")).mapInArrow(lambda bs: _build(bs, folder), "dim int, shard long, file string")
     return C.Table(built, "index").df
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries of a block as one row of flat arrays."""
+def _blocks(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Queries of a block as one file."""
     for t, at in C.whole_groups(batches, "block"):
         at = np.append(at, t.num_rows) if at[-1] != t.num_rows else at
         for s, e in zip(at[:-1], at[1:], strict=True):
             g = t.slice(s, e - s)
-            vectors = b"".join(np.array(x.values.to_numpy(zero_copy_only=False), np.float32).tobytes() for x in g["embedding"])
-            yield pa.RecordBatch.from_arrays([g["block"][:1].combine_chunks(), g["dim"][:1].combine_chunks(), pa.array([vectors], pa.binary()), pa.array([g["vec_id"].to_numpy().astype(np.int64).tobytes()], pa.binary())], names=["block", "dim", "queries", "query_ids"])
+            dim = g["dim"][0].as_py()
+            file = _store(folder, {"queries": _vectors(g["embedding"], dim), "ids": g["vec_id"].to_numpy().astype(np.int64)})
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([file])], names=["dim", "block"])
 
 
-def _visit(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.RecordBatch]:
+def _visit(batches: Iterator[pa.RecordBatch], folder: str, k: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The nearest of a block's queries in some shards, one of which is in memory at a time."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-            dim = r["dim"]
-            vectors, queries = (np.frombuffer(r[n], np.float32).reshape(-1, dim) for n in ("vectors", "queries"))
-            ids, ends, query_ids = (np.frombuffer(r[n], np.int64) for n in ("ids", "ends", "query_ids"))
-            found = Graph.unpack(vectors, r["graph"]).nearest(queries, width)
-            exact = vectors.astype(np.float64)
-            a, b, c = [], [], []
-            for q, points in enumerate(found):
-                points = points[points >= 0]
-                score = exact[points] @ queries[q].astype(np.float64)
-                who = [ids[(ends[p - 1] if p else 0) : ends[p]] for p in points]
-                score, who = np.repeat(score, [len(x) for x in who]), np.concatenate(who)
-                other = who != query_ids[q]
-                score, who = score[other], who[other]
-                best = np.lexsort((who, -score))[:k]
-                a.append(np.full(len(best), query_ids[q]))
-                b.append(who[best])
-                c.append(score[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, c)], names=["query_id", "vec_id", "score"])
+        for block, files in zip(batch.column("block").to_pylist(), batch.column("files").to_pylist(), strict=True):
+            asked = _load(folder, block)
+            queries, query_ids = asked["queries"], asked["ids"]
+            held: list[tuple[np.ndarray, ...]] = []
+            for file in sorted(files):
+                shard = _load(folder, file)
+                vectors, ids, ends = shard["vectors"], shard["ids"], shard["ends"]
+                graph = Graph.unpack(vectors, shard["graph"].tobytes()) if len(shard["graph"]) else Graph(vectors)
+                found = graph.nearest(queries, width)
+                exact, first = vectors.astype(np.float64), np.concatenate([[0], ends[:-1]])
+                for q, points in enumerate(found):
+                    points = points[points >= 0]
+                    count = ends[points] - first[points]
+                    at = np.repeat(first[points] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    who, score = ids[at], np.repeat(exact[points] @ queries[q].astype(np.float64), count)
+                    other = who != query_ids[q]
+                    who, score = who[other], score[other]
+                    o = np.lexsort((who, -score))[:k]
+                    held.append((np.full(len(o), q), who[o], score[o]))
+                if len(held) > len(queries):  # what earlier shards have found, and this one
+                    held = [_nearest(held, k)]
+            q, who, score = _nearest(held, k)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(who), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def _nearest(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """(query, vec_id, score) of the k best of each query."""
+    q, who, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    o = np.lexsort((who, -score, q))
+    q, who, score = q[o], who[o], score[o]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+    return q[keep], who[keep], score[keep]
 
 
 def search(queries: DataFrame, table: DataFrame, k: int = 20, width: int = SEARCH_WIDTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found in ``table``, ties to the smaller vec_id."""
-    made = index(usable(table), k, shard_rows)
+    spark = table.sparkSession
+    folder = f"{C.shared_dir(spark)}/overstrata-ann-{uuid.uuid4().hex[:12]}"
+    C.keep_until_exit(spark, folder)
+    made = index(usable(table), k, folder, shard_rows)
     asked = usable(queries).groupBy("vec_id").agg(F.min(F.struct("embedding", "dim")).alias("q")).select("vec_id", "q.embedding", "q.dim")
     asked = C.Table(asked, "queries").df
     n = max(1, -(-asked.count() // QUERY_BLOCK))
     blocks = asked.withColumn("block", F.expr(f"dim * 1000000000L + pmod(xxhash64(vec_id), {n})")).repartition(n, "block").sortWithinPartitions("block", "vec_id")
-    blocks = C.Table(blocks.mapInArrow(_blocks, "block long, dim int, queries binary, query_ids binary"), "blocks").df
-    # Shards by blocks: each names the other's numbers, and they meet in a task of their own.
-    numbers = made.select("shard", "dim")
-    shards = {r.dim: sorted(x.shard for x in numbers.filter(F.col("dim") == r.dim).collect()) for r in numbers.select("dim").distinct().collect()}
-    tasks = min(10_000, max(1, sum(map(len, shards.values())) * n))
-    of_dim = F.create_map(*[F.lit(x) for d, s in shards.items() for x in (d, F.array(*[F.lit(v) for v in s]))]) if shards else None
-    schema = "query_id long, vec_id long, score double"
-    if of_dim is None:
-        found = queries.sparkSession.createDataFrame([], schema)
-    else:
-        left = made.withColumn("block", F.explode(F.expr(f"transform(sequence(0L, {n - 1}L), x -> dim * 1000000000L + x)"))).repartition(tasks, "shard", "block")
-        right = blocks.withColumn("shard", F.explode(of_dim[F.col("dim")])).drop("dim").repartition(tasks, "shard", "block")
-        found = left.join(right.hint("shuffle_hash"), ["shard", "block"]).select("dim", "vectors", "ids", "ends", "graph", "queries", "query_ids").mapInArrow(lambda bs: _visit(bs, k, width), schema)
+    blocks = C.Table(blocks.mapInArrow(lambda bs: _blocks(bs, folder), "dim int, block string"), "blocks").df
+    # Names of files meet, not what is in them: each block with each group of shards of its dimension.
+    shards = made.count()
+    few = max(1, min(SHARDS_AT_ONCE, shards // 64))
+    groups = made.groupBy("dim", F.expr(f"pmod(shard, {-(-shards // few) or 1})").alias("g")).agg(F.collect_list("file").alias("files"))
+    tasks = C.Table(blocks.join(groups, "dim").select("block", "files"), "visits").df
+    found = tasks.repartition(min(10_000, max(1, tasks.count())), "block", "files").mapInArrow(lambda bs: _visit(bs, folder, k, width), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

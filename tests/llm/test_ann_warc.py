@@ -38,6 +38,43 @@ def test_recall_ties_and_odd_rows(spark):
     assert sorted((r.query_id, r.vec_id) for r in ann.search(few, few).collect()) == [(a, b) for a in range(3) for b in range(3) if a != b]
 
 
+def test_doubles_keep_their_digits(spark):
+    """Vectors that differ in the ninth digit, in a small shard and in one with a graph; and some beyond the range of floats."""
+    for n in (60, 700):
+        rng = np.random.default_rng(n)
+        v = 1 + rng.integers(0, 10**6, (n, 8)) * 1e-15 + np.arange(n)[:, None] * 1e-9
+        v[n // 2 :] *= 1e60
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.search(df.filter("vec_id % 20 = 0"), df, k=3).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        hit = 0
+        for q, found in got.items():
+            score = v @ v[q]
+            assert all(s == pytest.approx(score[i], rel=1e-14) for _, i, s in found)
+            best = sorted((-score[i], i) for i in range(n) if i != q)[:3]
+            hit += len({i for _, i in best} & {i for _, i, _ in found})
+        assert hit >= 0.9 * 3 * len(got) and len(got) == n / 20
+
+
+def test_recall_of_the_query(spark):
+    """The registered query on its whole table, with its own parameters, against brute force."""
+    from overstrata.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = {}
+    for r in queries.queries()["op3_hnsw_search"](spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in ids[ids % 20 == 0]:
+        score = v @ v[ids == q][0]
+        order = np.lexsort((ids, -score))
+        hit += len(got[q] & set(ids[order[ids[order] != q][:20]].tolist()))
+    assert hit >= 0.95 * 20 * len(got)
+
+
 def test_round_trip(spark, tmp_path):
     rows = [(1, "http://a/\r\nx", "same"), (5, None, "same"), (3, "u", None), (2, "u", ""), (7, "u", "é" * 100_000), (8, "u", "WARC/1.1\r\n\r\n"), (8, "u", "WARC/1.1\r\n\r\n"), (None, "u", "only"), (9, "u", "only")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
