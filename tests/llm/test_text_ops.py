@@ -237,7 +237,6 @@ def test_suffix_order_and_prefixes(memory, step, monkeypatch):
     monkeypatch.setattr(I, "STEP", step)
     if step < 100:
         monkeypatch.setattr(I, "RANGE", 5)
-        monkeypatch.setattr(I, "FRONT", 3)
     rng = random.Random(4)
     for n in range(300):
         a, depth = rng.randint(1, 4), rng.randint(1, 60)
