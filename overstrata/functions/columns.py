@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,9 +145,26 @@ def _fail(code: str) -> Column:
     return F.raise_error(F.lit(code)).cast("binary")
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once. Inside a lambda Spark shares nothing: an expression is evaluated wherever it is written,
+    and nested ones multiply."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _turned(n: Column) -> Column:
+    """The unsigned 32-bit number of n's bytes in the opposite order; n is written several times."""
+    byte = lambda shift: F.shiftright(n, shift).bitwiseAND(F.lit(255).cast("long"))
+    return F.shiftleft(byte(0), 24) + F.shiftleft(byte(8), 16) + F.shiftleft(byte(16), 8) + byte(24)
+
+
+def _size_hex(n: Column) -> Column:
+    """The digits of a size's four little-endian bytes."""
+    return F.lpad(F.hex(_turned(n.cast("long"))), 8, "0")
+
+
 def _bounded(items: Column, n: Column, limits: Limits, out: Column) -> Column:
     """out, or an error if n elements or the items' bytes are beyond the limits."""
-    total = F.aggregate(F.transform(items, lambda x: F.length(x).cast("long") + 4), F.lit(4).cast("long"), lambda a, x: a + x)
+    total = F.aggregate(items, F.lit(4).cast("long"), lambda a, x: a + F.length(x) + 4)
     return (
         F.when(n > limits.elements, _fail("TooManyElements"))
         .when(F.exists(items, lambda x: F.length(x) > limits.element_bytes), _fail("ElementTooLarge"))
@@ -156,33 +175,40 @@ def _bounded(items: Column, n: Column, limits: Limits, out: Column) -> Column:
 
 def encode_list(items: Column | str, limits: Limits = Limits()) -> Column:
     """Bytes of an array of BINARY: count, then length and bytes of each."""
-    items = c(items)
-    return _bounded(items, F.size(items), limits, F.concat(le32(F.size(items)), join_bytes(F.transform(items, lambda x: F.concat(le32(F.length(x)), x)))))
+    body = lambda x: F.array_join(F.transform(x, lambda i: F.concat(_size_hex(F.length(i)), F.hex(i))), "")
+    return let(c(items), lambda x: _bounded(x, F.size(x), limits, F.unhex(F.concat(_size_hex(F.size(x)), body(x)))))
 
 
 def _blobs(raw: Column, each: int, limits: Limits) -> Column:
     """The array of a collection's blobs, ``each`` of them an element."""
-    n = from_le(F.substring(raw, 1, 4))
-
-    def step(s: Column, _: Column) -> Column:
-        size = F.when(s["at"] + 3 <= F.octet_length(raw), from_le(F.substring(raw, s["at"], F.lit(4)))).otherwise(F.lit(1 << 32)).cast("long")
-        fits = s["at"] + 4 + size - 1 <= F.octet_length(raw)
-        item = F.when(size >= 1 << 32, _fail("TruncatedCollection")).when(size > limits.element_bytes, _fail("ElementTooLarge")).when(~fits, _fail("TruncatedCollection"))
-        item = item.otherwise(F.substring(raw, s["at"] + 4, F.least(size, F.lit((1 << 31) - 1)).cast("int")))
-        return F.struct((s["at"] + 4 + F.least(size, F.lit(1 << 30))).cast("int").alias("at"), F.array_append(s["items"], item).alias("items"))
-
-    turns = F.when(n == 0, F.expr("cast(array() as array<long>)")).otherwise(F.sequence(F.lit(1).cast("long"), n * each))
-    start = F.struct(F.lit(5).alias("at"), F.expr("cast(array() as array<binary>)").alias("items"))
-    read = F.aggregate(turns, start, step)
     none = lambda code: F.array(_fail(code))
-    whole = F.transform(F.array(read), lambda s: F.when(s["at"] == F.octet_length(raw) + 1, s["items"]).otherwise(none("TrailingCollectionBytes")))
-    return (
-        F.when(F.octet_length(raw) > limits.total_bytes, none("CollectionTooLarge"))
-        .when(F.octet_length(raw) < 4, none("TruncatedCollection"))
-        .when(n > limits.elements, none("TooManyElements"))
-        .when(n * 4 * each + 4 > F.octet_length(raw), none("TruncatedCollection"))
-        .when(raw.isNotNull(), F.get(whole, F.lit(0)))
-    )
+    size_at = lambda r, at, use: let(F.conv(F.hex(F.substring(r, at, F.lit(4))), 16, 10).cast("long"), lambda n: let(_turned(n), use))
+
+    def read(r: Column, n: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            left = F.octet_length(r) - s["at"] - 3  # bytes after the size
+            item = lambda size: (
+                F.when(left < 0, _fail("TruncatedCollection")).when(size > limits.element_bytes, _fail("ElementTooLarge")).when(size > left, _fail("TruncatedCollection"))
+                .otherwise(F.substring(r, (s["at"] + 4).cast("int"), size.cast("int")))
+            )
+            return size_at(r, s["at"].cast("int"), lambda size: F.struct((s["at"] + 4 + size).alias("at"), F.array_append(s["items"], item(size)).alias("items")))
+
+        start = F.struct(F.lit(5).cast("long").alias("at"), F.expr("cast(array() as array<binary>)").alias("items"))
+        return let(
+            F.aggregate(F.array_repeat(F.lit(0), (n * each).cast("int")), start, step),
+            lambda s: F.when(s["at"] == F.octet_length(r) + 1, s["items"]).otherwise(none("TrailingCollectionBytes")),
+        )
+
+    def whole(r: Column, n: Column) -> Column:
+        return (
+            F.when(F.octet_length(r) > limits.total_bytes, none("CollectionTooLarge"))
+            .when(F.octet_length(r) < 4, none("TruncatedCollection"))
+            .when(n > limits.elements, none("TooManyElements"))
+            .when(n * 4 * each + 4 > F.octet_length(r), none("TruncatedCollection"))
+            .when(r.isNotNull(), read(r, n))
+        )
+
+    return let(raw, lambda r: size_at(r, F.lit(1), lambda n: whole(r, n)))
 
 
 def decode_list(raw: Column | str, limits: Limits = Limits()) -> Column:

@@ -51,14 +51,18 @@ def append(dst: Column, src: Column, sig: bytes | str, deduplicate: bool = False
 
 def append_list(dst: Column, src: Column, sig: bytes | str, mode: str, limits: codec.Limits = codec.Limits()) -> Column:
     """Encoded lists joined. Absent in the source: unchanged; absent in the destination: the source's bytes as they are."""
-    mine, theirs = F.filter(dst, _is(sig)), F.filter(src, _is(sig))
-    at = F.array_position(F.transform(dst, lambda x: x["signature"]), F.lit(sig)).cast("int")
     join = {"all": K.append_all, "new_indices": K.append_new_indices, "unique": K.append_unique}[mode]
     one = lambda x: K.decode_list(F.get(x, F.lit(0))["payload"], limits)
-    both = K.encode_list(join(one(mine), one(theirs)), limits)
-    put = F.transform(dst, lambda x, i: F.when(i + 1 == at, F.struct(x["signature"].alias("signature"), both.alias("payload"))).otherwise(F.struct(x["signature"].alias("signature"), x["payload"].alias("payload"))))
-    many = F.raise_error(F.lit("ListSubrecordMultiplicity"))
-    return F.when((F.size(mine) > 1) | (F.size(theirs) > 1), many).when(F.size(theirs) == 0, dst).when(F.size(mine) == 0, F.concat(dst, theirs)).otherwise(put)
+
+    def put(dst: Column, mine: Column, theirs: Column) -> Column:
+        both = K.let(one(mine), lambda d: K.let(one(theirs), lambda s: K.encode_list(join(d, s), limits)))
+        payload = lambda x: F.when(_is(sig)(x), both).otherwise(x["payload"])  # noqa: E731  there is one such field
+        all_ = F.transform(dst, lambda x: F.struct(x["signature"].alias("signature"), payload(x).alias("payload")))
+        many = F.raise_error(F.lit("ListSubrecordMultiplicity"))
+        return F.when((F.size(mine) > 1) | (F.size(theirs) > 1), many).when(F.size(theirs) == 0, dst).when(F.size(mine) == 0, F.concat(dst, theirs)).otherwise(all_)
+
+    own = lambda x, use: K.let(F.filter(x, _is(sig)), use)
+    return K.let(dst, lambda d: own(d, lambda mine: own(src, lambda theirs: put(d, mine, theirs))))
 
 
 def apply(dst: Column, src: Column, rules: Sequence[Rule]) -> Column:

@@ -312,3 +312,30 @@ def test_lists_in_chains(spark):
     twice = spark.createDataFrame([([([*chain[0], *chain[0]],), (chain[1],)],)], df.schema)
     with pytest.raises(Exception, match="ListSubrecordMultiplicity"):
         compose.compose_chain(twice, [compose.Rule(b"QSTS", compose.APPEND_LIST)]).collect()
+
+
+def test_lists_of_chains_are_read_once(spark):
+    """A rule's expression holds one decoding of each side, and no row pays for more: written out again, they had multiplied."""
+    df = spark.createDataFrame([], "chain array<struct<fields:array<struct<signature:binary,payload:binary>>>>")
+    composed = compose.compose_chain(df, [compose.Rule(b"QSTS", compose.APPEND_LIST)]).select("fields")
+    once = spark.createDataFrame([], "raw binary").select(K.decode_list("raw").alias("items"))
+    folds = lambda d: d._jdf.queryExecution().analyzed().toString().count("array_append(")
+    assert folds(once) == 1 and folds(composed) == 2
+
+
+def test_bytes_that_are_no_list(spark):
+    """Every cut of a list, odd sizes and counts, as the codec has them; nothing stays nothing."""
+    good = B.encode_list([b"ab", b"", b"c" * 300])
+    odd = [good[:5], good[:9], good[:-1], b"\2\0\0\0\0\0\0\0\xff\0\0\0", b"\1\0\0\0\0\0\0\x80", b"\0\0\0\0x", b"\0\0\0\1" + bytes(8)]
+    limits = B.Limits(elements=10, element_bytes=1000, total_bytes=2000)
+    for raw in odd:
+        with pytest.raises(M.PackageError) as e:
+            B.decode_list(raw, limits)
+        with pytest.raises(Exception, match=e.value.code):
+            spark.createDataFrame([(bytearray(raw),)], "b binary").select(K.decode_list("b", limits)).collect()
+    rows = [(0, bytearray(good)), (1, None), (2, bytearray(4))]
+    got = {r.i: r.d and [bytes(x) for x in r.d] for r in spark.createDataFrame(rows, "i int, b binary").select("i", K.decode_list("b").alias("d")).collect()}
+    assert got == {0: [b"ab", b"", b"c" * 300], 1: None, 2: []}
+    for n in (255, 256, 65_537):
+        df = spark.createDataFrame([(bytearray(n),)], "b binary").select(K.encode_list(F.array("b")).alias("e"))
+        assert bytes(df.first().e) == B.encode_list([bytes(n)])
