@@ -153,8 +153,9 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 def _turned(n: Column) -> Column:
     """The unsigned 32-bit number of n's bytes in the opposite order; n is written several times."""
-    byte = lambda shift: F.shiftright(n, shift).bitwiseAND(F.lit(255).cast("long"))
-    return F.shiftleft(byte(0), 24) + F.shiftleft(byte(8), 16) + F.shiftleft(byte(16), 8) + byte(24)
+    mask = lambda x, m: x.bitwiseAND(F.lit(m).cast("long"))
+    outer = F.shiftleft(mask(n, 0xFF), 24).bitwiseOR(F.shiftright(n, 24))
+    return outer.bitwiseOR(F.shiftleft(mask(n, 0xFF00), 8)).bitwiseOR(mask(F.shiftright(n, 8), 0xFF00))
 
 
 def _size_hex(n: Column) -> Column:
@@ -182,22 +183,21 @@ def encode_list(items: Column | str, limits: Limits = Limits()) -> Column:
 def _blobs(raw: Column, each: int, limits: Limits) -> Column:
     """The array of a collection's blobs, ``each`` of them an element."""
     none = lambda code: F.array(_fail(code))
-    size_at = lambda r, at, use: let(F.conv(F.hex(F.substring(r, at, F.lit(4))), 16, 10).cast("long"), lambda n: let(_turned(n), use))
+    size_at = lambda r, at: let(F.conv(F.hex(F.substring(r, at.cast("int"), F.lit(4))), 16, 10).cast("long"), _turned)
 
     def read(r: Column, n: Column) -> Column:
         def step(s: Column, _: Column) -> Column:
-            left = F.octet_length(r) - s["at"] - 3  # bytes after the size
-            item = lambda size: (
-                F.when(left < 0, _fail("TruncatedCollection")).when(size > limits.element_bytes, _fail("ElementTooLarge")).when(size > left, _fail("TruncatedCollection"))
-                .otherwise(F.substring(r, (s["at"] + 4).cast("int"), size.cast("int")))
-            )
-            return size_at(r, s["at"].cast("int"), lambda size: F.struct((s["at"] + 4 + size).alias("at"), F.array_append(s["items"], item(size)).alias("items")))
-
-        start = F.struct(F.lit(5).cast("long").alias("at"), F.expr("cast(array() as array<binary>)").alias("items"))
-        return let(
-            F.aggregate(F.array_repeat(F.lit(0), (n * each).cast("int")), start, step),
-            lambda s: F.when(s["at"] == F.octet_length(r) + 1, s["items"]).otherwise(none("TrailingCollectionBytes")),
-        )
+            left = F.octet_length(r) + 1 - s["at"]
+            item = F.when((s["size"] <= left) & (s["size"] <= limits.element_bytes), F.substring(r, s["at"].cast("int"), s["size"].cast("int")))
+            item = item.when((left >= 0) & (s["size"] > limits.element_bytes), _fail("ElementTooLarge")).otherwise(_fail("TruncatedCollection"))
+            after = s["at"] + s["size"]
+            # The items stand first: a size that leads beyond the bytes is an error there, before it is a place.
+            return F.struct(F.array_append(s["items"], item).alias("items"), (after + 4).alias("at"), size_at(r, after).alias("size"))
+
+        # at is the place of the next element's bytes, four after that of its size.
+        start = F.struct(F.expr("cast(array() as array<binary>)").alias("items"), F.lit(9).cast("long").alias("at"), size_at(r, F.lit(5)).alias("size"))
+        end = lambda s: F.when(s["at"] == F.octet_length(r) + 5, s["items"]).otherwise(none("TrailingCollectionBytes"))
+        return F.aggregate(F.array_repeat(F.lit(0), (n * each).cast("int")), start, step, end)
 
     def whole(r: Column, n: Column) -> Column:
         return (
@@ -208,7 +208,7 @@ def _blobs(raw: Column, each: int, limits: Limits) -> Column:
             .when(r.isNotNull(), read(r, n))
         )
 
-    return let(raw, lambda r: size_at(r, F.lit(1), lambda n: whole(r, n)))
+    return let(raw, lambda r: let(size_at(r, F.lit(1)), lambda n: whole(r, n)))
 
 
 def decode_list(raw: Column | str, limits: Limits = Limits()) -> Column:
